@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modweave.operators.components import cut, shared_folder  # noqa: F401
+
 #: ASCII white space: the bytes 0x20 and 0x09 to 0x0D.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -21,21 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one is set only where the session has none."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        there = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(there or os.path.join(tempfile.gettempdir(), "modweave-checkpoint"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the folder that all executors share, so that a lost executor costs no rerun."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def let(value: Column, body) -> Column:
     """``body`` of a value that is worked out once a row, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

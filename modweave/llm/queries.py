@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from modweave.llm.chat import op7_chat_format
 from modweave.llm.fingerprints import op6_fingerprints
+from modweave.llm.html import op4_html_extraction
 from modweave.llm.mixing import op3_mixing
+from modweave.llm.near_dups import op9_near_duplicates
+from modweave.llm.packing import op8_packing
 from modweave.llm.quality import op10_host_quality
 from modweave.llm.sharding import op5_sharding
+from modweave.llm.tokens import op1_token_counts
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op5_sharding, op6_fingerprints, op10_host_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op3_mixing, op4_html_extraction, op5_sharding, op6_fingerprints,
+        op7_chat_format, op8_packing, op9_near_duplicates, op10_host_quality,
+    )
+}
 
 SQL: dict[str, str] = {}
