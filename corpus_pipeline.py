@@ -10,18 +10,37 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modweave.llm import mixing, quality
+from modweave.llm import line_dedup, mixing, near_dups, packing, quality
+from modweave.llm.common import shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
 
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dups.one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_order(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("mix_sources", mix_sources)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", repeated_lines),
+    ("near_duplicates", near_duplicates),
+    ("mix_sources", mix_sources),
+    ("pack", pack),
+]
 
 #: Signatures, union-find and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -29,8 +48,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. Stages before it are written under the shared checkpoint folder and read again."""
-    from modweave.llm.common import shared_folder
-
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:

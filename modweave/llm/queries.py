@@ -5,6 +5,7 @@ from __future__ import annotations
 from modweave.llm.chat import op7_chat_format
 from modweave.llm.fingerprints import op6_fingerprints
 from modweave.llm.html import op4_html_extraction
+from modweave.llm.line_dedup import op2_line_dedup
 from modweave.llm.mixing import op3_mixing
 from modweave.llm.near_dups import op9_near_duplicates
 from modweave.llm.packing import op8_packing
@@ -15,7 +16,7 @@ from modweave.llm.tokens import op1_token_counts
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_counts, op3_mixing, op4_html_extraction, op5_sharding, op6_fingerprints,
+        op1_token_counts, op2_line_dedup, op3_mixing, op4_html_extraction, op5_sharding, op6_fingerprints,
         op7_chat_format, op8_packing, op9_near_duplicates, op10_host_quality,
     )
 }
