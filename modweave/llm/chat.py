@@ -79,8 +79,9 @@ def branches(nodes: DataFrame, top: int | None = None) -> DataFrame:
         leaves = leaves.where(F.col("rank") <= top)
     path = leaves.select("tree", F.col("node").alias("leaf"), "rank", F.lit(0).cast("long").alias("depth"), "node")
     for k, jump in enumerate(jumps):
-        more = path.join(jump, path["tree"].eqNullSafe(F.col("t_")) & (F.col("node") == F.col("n_")))
-        path = path.union(more.select("tree", "leaf", "rank", F.col("depth") + (1 << k), F.col("u_")))
+        here, there = F.struct("depth", "node"), F.struct((F.col("depth") + (1 << k)).alias("depth"), F.col("u_").alias("node"))
+        path = path.join(jump, path["tree"].eqNullSafe(F.col("t_")) & (F.col("node") == F.col("n_")), "left")
+        path = path.select("tree", "leaf", "rank", F.inline(F.filter(F.array(here, there), lambda x: x["node"].isNotNull())))
         path = cut(path) if k % 3 == 2 else path
     return path
 

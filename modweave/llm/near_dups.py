@@ -123,26 +123,35 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    if 100 * len(a) < PERCENT * len(b):
+        return False
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int(np.count_nonzero(b[at] == a))
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (centre, salt), the centre's own first: one centre's set is in memory at a time."""
-    centre, of = None, np.empty(0, _U)
+    """Rows sorted by (centre, salt), the centre's own first: one centre's sets are in memory at a time.
+
+    A centre has more than one set only where rows of one id have several texts.
+    """
+    centre, of, was_own = None, [], False
     for batch in batches:
         c, own, ids, sets = (batch.column(x) for x in ("c", "own", "id", "set"))
         out_c, out_id = [], []
         for row_c, is_own, i, raw in zip(c.to_pylist(), own.to_pylist(), ids.to_pylist(), sets.to_pylist()):
             s = np.frombuffer(raw, _U)
             if is_own:
-                centre, of = row_c, s
+                of = [*of, s] if was_own and centre == row_c else [s]
+                centre, was_own = row_c, True
                 continue
+            was_own = False
             if centre != row_c:
                 raise AssertionError("a member came before its centre")
-            a, b = (s, of) if len(s) <= len(of) else (of, s)
-            if 100 * len(a) < PERCENT * len(b):
-                continue
-            at = np.searchsorted(b, a)
-            at[at == len(b)] = 0
-            both = int(np.count_nonzero(b[at] == a))
-            if 100 * both >= PERCENT * (len(a) + len(b) - both):
+            if any(alike(s, x) for x in of):
                 out_c.append(row_c)
                 out_id.append(i)
         yield pa.RecordBatch.from_arrays([pa.array(out_c, pa.int64()), pa.array(out_id, pa.int64())], ["src", "dst"])
@@ -183,12 +192,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spread = classes.select(F.explode("bands").alias("key"), "rep", "n").repartition("key")
     least = spread.groupBy("key").agg(F.count(F.lit(1)).alias("in_band"), F.min(F.struct("rep", "n")).alias("first")).where("in_band > 1")
     shared = cut(spread.join(least, "key").select("key", "rep", "n", "first"))
-    alike = lambda a, b: 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
-    star = shared.where((F.col("rep") != F.col("first.rep")) & alike(F.col("n"), F.col("first.n")))
+    near = lambda a, b: 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+    star = shared.where((F.col("rep") != F.col("first.rep")) & near(F.col("n"), F.col("first.n")))
     star = cut(star.select(F.col("first.rep").alias("c"), F.col("rep").alias("id")).distinct())
     links = cut(verified(star, docs))
     grouped = components(links)
-    rest = _across(shared, grouped, star, alike)
+    rest = _across(shared, grouped, star, near)
     if not rest.isEmpty():
         links = cut(links.union(verified(rest, docs)))
         grouped = components(links)
@@ -199,7 +208,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _across(shared: DataFrame, grouped: DataFrame, star: DataFrame, alike) -> DataFrame:
+def _across(shared: DataFrame, grouped: DataFrame, star: DataFrame, near) -> DataFrame:
     """Pairs of one band but different components: its smaller components' members with all others, none twice."""
     rows = shared.join(grouped, F.col("rep") == F.col("node"), "left")
     rows = rows.select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
@@ -207,7 +216,7 @@ def _across(shared: DataFrame, grouped: DataFrame, star: DataFrame, alike) -> Da
     most = per.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("members", "comp")).alias("most")).where("comps > 1")
     mixed_ = cut(rows.join(most.select("key", F.col("most.comp").alias("main")), "key"))
     few = mixed_.where("comp != main").select("key", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("d"))
-    pairs = mixed_.join(few, "key").where((F.col("comp") != F.col("d")) & alike(F.col("n"), F.col("m")))
+    pairs = mixed_.join(few, "key").where((F.col("comp") != F.col("d")) & near(F.col("n"), F.col("m")))
     pairs = pairs.select(F.least("rep", "r").alias("c"), F.greatest("rep", "r").alias("id")).distinct()
     return cut(pairs.join(star, ["c", "id"], "left_anti"))
 
