@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _VERSION = re.compile(r"^[v=\s]*(\d+)(?:\.(\d+|[xX*]))?(?:\.(\d+|[xX*]))?(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?$")
 
@@ -84,7 +85,7 @@ def fits(version: str | None, wanted: str | None) -> bool:
     return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def satisfies(version: pd.Series, wanted: pd.Series) -> pd.Series:
     known: dict[tuple, bool] = {}
     return pd.Series([known[k] if k in known else known.setdefault(k, fits(*k)) for k in zip(version, wanted)])
