@@ -1,0 +1 @@
+"""Dependency-graph analytics on Spark DataFrames."""

@@ -1,0 +1 @@
+"""Nothing: the operators are batch relations, as are those they match."""
