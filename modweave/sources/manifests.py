@@ -56,6 +56,35 @@ def read_package(root: str) -> Package | None:
     return Package(root.rstrip("/"), text("name"), text("version"), _strings(raw.get("dependencies")), _strings(raw.get("devDependencies")), raw.get("exports"), raw.get("imports") if isinstance(raw.get("imports"), dict) else {}, text("main"), text("module"), raw)
 
 
+_TOKEN = re.compile(r'"(?:\\.|[^"\\])*"|//[^\n]*|/\*.*?\*/|[{}\[\]:,]', re.S)
+
+
+def dependency_place(text: str, name: str, fields: tuple[str, ...] = ("dependencies", "devDependencies")) -> tuple[int, int] | None:
+    """Where a manifest's text has a dependency's key, without its quotes, in characters; the first field that has it.
+
+    Tokens are read with a stack of open objects, so the same name elsewhere (in scripts, say) isn't taken.
+    """
+    found: dict[str, tuple[int, int]] = {}
+    stack: list[str] = []
+    last, key = None, ""
+    for m in _TOKEN.finditer(text):
+        t = m[0]
+        if t[0] == "/":
+            continue
+        if t[0] == '"':
+            last = m
+        elif t == ":" and last is not None:
+            key = json.loads(last[0])
+            if len(stack) == 2 and stack[1] in fields and key == name:
+                found.setdefault(stack[1], (last.start() + 1, last.end() - 1))
+        elif t in "{[":
+            stack.append(key)
+            key = ""
+        elif t in "}]" and stack:
+            stack.pop()
+    return next((found[f] for f in fields if f in found), None)
+
+
 # --- tsconfig ------------------------------------------------------------------------------------------------------
 
 
@@ -259,16 +288,12 @@ def binaries(package: dict) -> list[str]:
 
 
 def pick_condition(target: object, conditions: list[str]) -> str:
-    """The path of a conditional target: configured names in their order, then ``default``; '' if none or blocked."""
-    if isinstance(target, str):
-        return target
+    """The path of a conditional target: the first configured name it has, else ``default``; '' if none or blocked."""
     if isinstance(target, list):
         return next((p for t in target if (p := pick_condition(t, conditions))), "")
-    if isinstance(target, dict):
-        for name in [*conditions, "default"]:
-            if name in target and (p := pick_condition(target[name], conditions)):
-                return p
-    return ""
+    while isinstance(target, dict):
+        target = next((target[name] for name in [*conditions, "default"] if name in target), "")
+    return target if isinstance(target, str) else ""
 
 
 def match_keys(table: dict, request: str) -> tuple[object, str] | None:
@@ -319,7 +344,7 @@ class Rules:
             target = fill(pick_condition(hit[0], self.conditions), hit[1])
             if target.startswith("."):
                 return [("user", posixpath.normpath(posixpath.join(mine.root, target)))]
-            return self.workspace(mine, target) if target else []
+            return (self.workspace(mine, target) or [("node", target)]) if target else []
         if found := self.workspace(mine, request):
             return found
         if hit := match_keys(self.settings[mine.root].aliases, request):

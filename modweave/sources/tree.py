@@ -120,14 +120,16 @@ def build_graph(spark: SparkSession, root: str, options: Options | None = None)
     known = spark.createDataFrame(pairs or [("", "")], "owner string, module string").withColumn("has", F.lit(True))
     roots = sorted(owner, key=len, reverse=True)
     mine = F.coalesce(*[F.when(F.col("src").startswith(r + "/"), F.lit(r)) for r in roots], F.lit(root))
-    edges = edges.withColumn("owner", mine).withColumn("module", module_name(request)).join(known, ["owner", "module"], "left")
+    stands = asked.where("kind = 'node'").groupBy("src", "seq").agg(F.min("module_path").alias("target"))  # a # import of a package
+    edges = edges.join(stands, ["src", "seq"], "left").withColumn("owner", mine)
+    edges = edges.withColumn("module", module_name(F.coalesce("target", request))).join(known, ["owner", "module"], "left")
     on_disk = F.col("asset").isNotNull()
     assets = _assets(edges.where(is_asset(request, o.assets) & (F.col("dst") == "")), rules)
     edges = edges.join(assets, ["src", "seq"], "left")
     kind = F.when(F.col("is_local_export"), F.lit("local_export")).when(is_builtin(request), F.lit("builtin"))
     kind = kind.when((F.col("dst") != "") & glob_col(F.col("dst"), o.exclude, root), F.lit("excluded")).when(F.col("dst") != "", F.col("way"))
     kind = kind.when(F.col("has"), F.lit("node")).when(on_disk, F.lit("asset")).otherwise(F.lit("unresolved"))
-    edges = edges.withColumn("resolved_type", kind).drop("way", "has", "owner", "module", "asset")
+    edges = edges.withColumn("resolved_type", kind).drop("way", "has", "owner", "module", "asset", "target")
     return Graph(root, nodes, cut(edges), imports, files, rules, found.excluded, found.pruned)
 
 

@@ -10,7 +10,7 @@ from modweave.sources.tree import Options, build_graph
 from modweave.sources.walk import walk
 
 FILES = {
-    "package.json": '{"name": "top", "workspaces": ["packages/*"], "dependencies": {"react": "^18.0.0", "idle": "1"}, "devDependencies": {"tool": "1", "@types/react": "1"}, "scripts": {"go": "tool --x"}, "imports": {"#in/*": "./src/*"}}',
+    "package.json": '{"name": "top", "workspaces": ["packages/*"], "dependencies": {"react": "^18.0.0", "idle": "1"}, "devDependencies": {"tool": "1", "@types/react": "1"}, "scripts": {"go": "tool --x"}, "imports": {"#in/*": "./src/*", "#ui": "react", "#gone": "nowhere"}}',
     "tsconfig.json": '{ // comment\n "extends": "./base.json", "compilerOptions": {"paths": {"~/*": ["./src/*"],}}}',
     "base.json": '{"compilerOptions": {"paths": {"exact": ["./src/a.ts"]}}}',
     ".gitignore": "dist/\n# no\n",
@@ -19,7 +19,7 @@ FILES = {
     "src/a.ts": "import type {B} from './b';\nimport {h} from 'lib/helper';\nexport const a = 1;\nexport const unused = 2;\nexport { x, y };\nconst x = 1, y = 2;\n",
     "src/b.ts": "import {a} from 'exact';\nexport type B = string;\n",
     "src/util/index.ts": "import '#in/_hidden';\nexport default function () {}\n",
-    "src/_hidden.ts": "import x from '../dist/late';\nimport './logo.svg';\nimport {x as z} from './a';\n",
+    "src/_hidden.ts": "import x from '../dist/late';\nimport './logo.svg';\nimport '#ui';\nimport '#gone';\nimport {x as z} from './a';\n",
     "src/logo.svg": "<svg/>",
     "src/orphan.ts": "require('tool');\n",
     "src/Comp.vue": "<template>import 'no'</template>\n<script>import './util'</script>\n",
@@ -59,7 +59,7 @@ def test_edges(tree, root):
         ("src/index.ts", "missing-pkg"): ("", "unresolved"), ("src/index.ts", "./nowhere"): ("", "unresolved"), ("src/index.ts", "node:fs"): ("", "builtin"),
         ("src/a.ts", "./b"): ("src/b.ts", "user"), ("src/a.ts", "lib/helper"): ("packages/lib/src/helper.ts", "monorepo"), ("src/b.ts", "exact"): ("src/a.ts", "user"),
         ("src/util/index.ts", "#in/_hidden"): ("src/_hidden.ts", "user"), ("src/_hidden.ts", "../dist/late"): ("dist/late.js", "user"), ("src/_hidden.ts", "./logo.svg"): ("", "asset"),
-        ("src/_hidden.ts", "./a"): ("src/a.ts", "user"), ("src/orphan.ts", "tool"): ("", "node"), ("src/Comp.vue", "./util"): ("src/util/index.ts", "user"),
+        ("src/_hidden.ts", "./a"): ("src/a.ts", "user"), ("src/_hidden.ts", "#ui"): ("", "node"), ("src/_hidden.ts", "#gone"): ("", "unresolved"), ("src/orphan.ts", "tool"): ("", "node"), ("src/Comp.vue", "./util"): ("src/util/index.ts", "user"),
         ("dist/late.js", "../src/index"): ("src/index.ts", "user"), ("packages/lib/src/helper.ts", "../../../src/a"): ("src/a.ts", "user"),
     }
 
@@ -78,7 +78,7 @@ RULES = """{
   "rules": [{
     "path": ".", "prodEntryPoints": ["src/Comp.vue"], "devEntryPoints": ["src/orphan.ts"],
     "circularImportsDetection": {"algorithm": "SCC"}, "orphanFilesDetection": {"autofix": true},
-    "unusedNodeModulesDetection": true, "missingNodeModulesDetection": [true], "unresolvedImportsDetection": {"ignoreImports": ["./now*"]},
+    "unusedNodeModulesDetection": true, "missingNodeModulesDetection": [true], "unresolvedImportsDetection": {"ignoreImports": ["./now*", "#gone"]},
     "unusedExportsDetection": {"autofix": true}, "devDepsUsageOnProdDetection": {"prodEntryPoints": ["src/*.ts"]},
     "moduleBoundaries": [{"name": "core", "pattern": "src/a.ts", "deny": ["packages/**"]}],
     "restrictedImportsDetection": {"entryPoints": ["src/Comp.vue"], "denyModules": ["react"], "denyFiles": ["src/b.ts"]},
@@ -95,7 +95,7 @@ def test_run(spark, root):
     c = rule.checks
     assert short(c["orphanFiles"], "path") == [("packages/lib/main.ts",)]
     assert short(c["unusedNodeModules"], "module") == [("idle",)]
-    assert short(c["missingNodeModules"], "module") == [("missing-pkg",)]
+    assert short(c["missingNodeModules"], "module") == [("#gone",), ("#ui",), ("missing-pkg",)]
     assert short(c["unresolvedImports"], "request") == [("missing-pkg",)]
     assert short(c["unusedExports"], "path", "name") == [("src/a.ts", "unused"), ("src/a.ts", "y"), ("src/util/index.ts", "default")] or short(c["unusedExports"], "path", "name") == [("src/a.ts", "unused"), ("src/a.ts", "y")]
     assert short(c["restrictedDevDependenciesUsage"], "dependency", "path") == [("tool", "src/orphan.ts")]
@@ -130,6 +130,13 @@ def test_edits():
     assert edits.whole_line(b"a\n  b  \nc", 4, 5) == (2, 8)
 
 
+def test_dependency_places():
+    text = '{"scripts": {"a": "1"}, /* "a": */ "dependencies": {"b": "1", // "a": 2\n "a": "^1"}, "devDependencies": {"a": "2"}}'
+    start, end = manifests.dependency_place(text, "a")
+    assert text[start:end] == "a" and text[end:].startswith('": "^1"')
+    assert manifests.dependency_place(text, "c") is None
+
+
 def test_manifests(tmp_path):
     assert manifests.parse_jsonc('{"a": "//x", /* c */ "b": [1,2,],}') == {"a": "//x", "b": [1, 2]}
     table = {"./*": "./all/*.js", "./x/*": "./x/*.ts", "./x": {"import": "./i.ts", "default": "./d.ts"}}
