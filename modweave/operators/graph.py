@@ -204,11 +204,11 @@ def attribute_first(edges: DataFrame, roots: DataFrame, ignore_types: bool = Fal
 def paths(edges: DataFrame, roots: DataFrame, target: str, all_paths: bool = False, ignore_types: bool = False) -> DataFrame:
     """``entry, path_no, path, truncated`` (compat): resolution paths from each root to a file or module.
 
-    Each root is built by itself. For a module the target is the first file met that imports it.
+    Each root is built by itself, in the group of its weakly connected component. For a module the target is the
+    first file met that imports it.
     """
     front = module_frontier(edges, target).select("path", F.lit(True).alias("hit"))
-    found = followed(edges, ignore_types).select("src", "seq", "dst").withColumn("g", F.lit(0))
-    asked = roots.select("path", F.lit(True).alias("root")).unionByName(front.select("path", F.lit(False).alias("root"))).withColumn("g", F.lit(0))
+    asked = roots.select("path", F.lit(True).alias("root")).unionByName(front.select("path", F.lit(False).alias("root")))
 
     def walk(e: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         adj, hits = _ordered(e), set(a.loc[~a["root"], "path"])
@@ -220,7 +220,8 @@ def paths(edges: DataFrame, roots: DataFrame, target: str, all_paths: bool = Fal
                 rows.append((root, i, path, r[1]))
         return pd.DataFrame(rows, columns=["entry", "path_no", "path", "truncated"]).astype({"path": object})
 
-    return _grouped(found, asked, walk, "entry string, path_no int, path array<string>, truncated boolean")
+    e, a = _by_component(followed(edges, ignore_types), asked)
+    return _grouped(e, a, walk, "entry string, path_no int, path array<string>, truncated boolean")
 
 
 def _preorder(adj: kernels.Adjacency, root: str) -> Iterator[str]:
@@ -234,27 +235,24 @@ def _preorder(adj: kernels.Adjacency, root: str) -> Iterator[str]:
 
 
 def shortest_paths(edges: DataFrame, root: str, target: str) -> DataFrame:
-    """``path``: one shortest path, of several the first by name; none if the target isn't reached."""
+    """``path``: one shortest path, of several the first by name; none if the target isn't reached.
 
-    def walk(e: pd.DataFrame) -> pd.DataFrame:
-        adj = kernels.adjacency(zip(e["src"], e["dst"]))
-        seen, layer = {root: None}, [root]
-        while layer and target not in seen:
-            nxt = []
-            for a in sorted(layer):
-                for b in sorted(adj.get(a, ())):
-                    if b not in seen:
-                        seen[b] = a
-                        nxt.append(b)
-            layer = nxt
-        if target not in seen:
-            return pd.DataFrame({"path": pd.Series([], dtype=object)})
-        path = [target]
-        while seen[path[-1]] is not None:
-            path.append(seen[path[-1]])
-        return pd.DataFrame({"path": pd.Series([path[::-1]], dtype=object)})
-
-    return followed(edges).select("src", "dst").distinct().groupBy(F.lit(0)).applyInPandas(walk, "path array<string>")
+    Layers are joined on round by round, each file once with its least predecessor; then the path is walked back.
+    """
+    pairs = cut(followed(edges).select("src", "dst").distinct())
+    seen = layer = cut(edges.sparkSession.range(1).select(F.lit(root).alias("path"), F.lit("").alias("before"), F.lit(0).alias("depth")))
+    depth = 0
+    while not layer.isEmpty() and seen.where(F.col("path") == target).isEmpty():
+        depth += 1
+        step = layer.select("path").join(pairs, F.col("path") == F.col("src")).groupBy("dst").agg(F.min("src").alias("before"))
+        layer = cut(step.select(F.col("dst").alias("path"), "before", F.lit(depth).alias("depth")).join(seen, "path", "left_anti"))
+        seen = cut(seen.union(layer))
+    path, at = [target], seen.where(F.col("path") == target).first()  # as many look-ups as the path is long
+    while at is not None and at["before"]:
+        path.insert(0, at["before"])
+        at = seen.where(F.col("path") == at["before"]).first()
+    found = edges.sparkSession.range(1).select(F.array(*map(F.lit, path)).alias("path"))
+    return found.where(F.lit(at is not None and path[0] == root))
 
 
 def _cyclic(edges: DataFrame, ignore_types: bool) -> DataFrame:

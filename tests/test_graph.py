@@ -61,6 +61,16 @@ def test_parents_keep_duplicates_and_order():
     assert kernels.resolution_paths(kernels.dfs_parents(adj, ["r"]), "r", False) == ([], False)
 
 
+def test_paths(spark):
+    e = edges(spark, [("r", "a"), ("a", "b"), ("b", "t"), ("r", "c"), ("c", "t"), ("q", "z")])
+    roots = spark.createDataFrame([("r",), ("q",)], "path string")
+    assert [(x.entry, x.path) for x in graph.paths(e, roots, "t").collect()] == [("r", ["r", "a", "b", "t"])]
+    assert sorted(x.path for x in graph.paths(e, roots, "t", all_paths=True).collect()) == [["r", "a", "b", "t"], ["r", "c", "t"]]
+    assert [x.path for x in graph.shortest_paths(e, "r", "t").collect()] == [["r", "c", "t"]]
+    assert graph.shortest_paths(e, "r", "z").count() == 0
+    assert [x.path for x in graph.shortest_paths(e, "r", "r").collect()] == [["r"]]
+
+
 def test_long_chains_do_not_recurse():
     adj = {str(i): [str(i + 1)] for i in range(30_000)}
     adj["30000"] = ["0"]

@@ -81,3 +81,50 @@ def test_components():
 def test_strip():
     assert strip_comments("a // b\n'//c' /* d */ e") == "a \n'//c'  e"
     assert strip_templates("x = css`a ${b}`; y = `kept`") == "x = css; y = `kept`"
+
+
+def test_words_in_markup_and_names():
+    code = "import { Q } from './q'\nfunction V() { return <P>please import the export, require nothing</P> }\nconst importer = 1, exports_ = [ 'x/y.ts' ]; export_thing = wrap(require('z'))\n"
+    assert got(code) == [("./q", "mixed"), ("z", "mixed")]
+
+
+def test_comments_inside_statements():
+    assert got("export\n /* q from 'no' */\n * from \"p\"\n") == [("p", "mixed")]
+    assert got("import { q, // r from 'no'\n s /* t from 'no' */ } from 'w'") == [("w", "mixed")]
+    assert got("export class K { // q from 'no'\n}\n") == []
+
+
+def test_local_exports_are_no_imports():
+    for code in ("export default V", "export const V = 'v'", "export type T = {}", "export interface T {}", "export async function f() {}", "export { V, W }"):
+        assert got(code) == [], code
+    assert got("export { V }\nimport w from 'w'") == [("w", "mixed")]
+    assert [x.request for x in scan(b"export type T = A & {\n  p: boolean;\n};\nconst C = lazy(() => import('~/c'));", detailed=True)] == ["", "~/c"]
+
+
+def test_brackets_and_divisions():
+    assert got("require(((\"p\")))") == [("p", "mixed")]
+    assert got("import a from 'a'; const q = m[1] / g() / 2; const r = (w) => { return w / 3 / 4 }\nimport b from 'b'") == [("a", "mixed"), ("b", "mixed")]
+    assert got("import a from 'a'; function g(s) { return /[\"'/]/.test(s) && s.split(/\\/'/) }\nimport b from 'b'") == [("a", "mixed"), ("b", "mixed")]
+
+
+def test_members_are_passed_over():
+    assert got("api.from('./no'); api.type('x')\nexport { B } from './yes'\n{ api . require('no'); api.import('no') }") == [("./yes", "mixed")]
+
+
+def test_types_in_local_lists():
+    (x,) = scan(b"export { A, type B }", detailed=True)
+    assert [(k.name, k.is_type) for k in x.keywords] == [("A", False), ("B", True)]
+    assert scan(b"export { A, type B }") == []
+
+
+def test_places_of_lists():
+    code = b"export { a, b as c, } from './m' ;\nexport { d };"
+    one, two = scan(code, detailed=True)
+    assert code[one.export[3] : one.export[4]] == b"{ a, b as c, }" and code[one.export[0] : one.export[5]] == b"export { a, b as c, } from './m' ;"
+    assert [code[k.comma_after : k.comma_after + 1] for k in one.keywords] == [b",", b","] and two.keywords[0].comma_after == 0
+
+
+def test_deep_nesting():
+    code = "if (a) { while (b) { try { require('x') } catch { import('y') } } }\nexport const z = `${f({ a: `}` })}`\nimport q from 'q'"
+    assert [r for r, _ in got(code)][:2] == ["x", "y"]
+    assert got("") == [] and got("import") == [] and got("export {") == [] and got("import {a") == [] and got("require(") == [] and got("import(") == []
