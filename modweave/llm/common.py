@@ -13,9 +13,9 @@ from modweave.operators.components import cut, shared_folder  # noqa: F401
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 
-#: Units (rows, and the elements of their arrays) up to which a keyed side is broadcast after they have been counted;
-#: beyond it the join shuffles. A unit takes some hundred bytes at most, so this is some 25 MB.
-BROADCAST_UNITS = 250_000
+#: Rows up to which a narrow keyed side is broadcast after they have been counted; beyond it the join shuffles. A row
+#: is an id or a host with a flag, so this is a few MB.
+BROADCAST_ROWS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +42,6 @@ def inline(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(body))
 
 
-def join_sized(big: DataFrame, small: DataFrame, on, how: str = "inner", units: Column | None = None) -> DataFrame:
-    """Join with a broadcast of ``small`` (already computed, so that counting is cheap) if it is small, else a shuffle.
-
-    ``units`` counts for a row that holds an array; by default a row is one unit.
-    """
-    n = small.agg(F.sum(units if units is not None else F.lit(1))).first()[0] or 0
-    return big.join(F.broadcast(small) if n <= BROADCAST_UNITS else small, on, how)
+def join_sized(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join with a broadcast of ``small`` (already computed, so that counting is cheap) if it has few rows, else a shuffle."""
+    return big.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from modweave.llm.common import cut, join_sized, table
+from modweave.llm.common import cut, table
 
 #: Words a repeated run must have for its later copies to go.
 MIN_WORDS = 5
@@ -212,7 +212,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row_"), F.col("text"), key.alias("key_"))
     cond = [F.col(f"key_.{c}") == F.col(f"r_{c}") for c in DOC]
     small = found.select(*[F.col(c).alias(f"r_{c}") for c in DOC], F.col("runs").alias("runs_"), "n_lines")
-    rows = join_sized(rows, small, cond, "left", 1 + F.size("runs_"))
+    rows = rows.join(small, cond, "left")  # each key is on one side once, so texts are shuffled by it at any size
     gone = F.aggregate("runs_", F.lit(0), lambda a, r: a + r["end"] - r["start"])
     rows = rows.where(F.col("runs_").isNull() | (gone < F.col("n_lines")))
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.exists("runs_", lambda r: (r["start"] <= i) & (i < r["end"])))
