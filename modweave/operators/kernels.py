@@ -176,22 +176,30 @@ def least_cycle(adj: Adjacency, component: list[str]) -> list[str]:
             return [start, start]
 
 
-def exclusive(adj: Adjacency, roots: dict[str, int], candidate: str) -> set[str]:
-    """What would go if the roots no longer referred to ``candidate``: it, and what then has no reference left."""
-    total = set(reached(adj, candidate))
-    refs: dict[str, int] = dict(roots)
-    for a, bs in adj.items():
+def references(adj: Adjacency, roots: dict[str, int]) -> dict[str, int]:
+    """How often each package is referred to, by roots and by others."""
+    refs = dict(roots)
+    for bs in adj.values():
         for b in bs:
             refs[b] = refs.get(b, 0) + 1
-    refs[candidate] = refs.get(candidate, 0) - roots.get(candidate, 0)
-    gone, queue = set(), deque([candidate] if refs[candidate] <= 0 else [])
+    return refs
+
+
+def exclusive(adj: Adjacency, roots: dict[str, int], candidate: str, refs: dict[str, int] | None = None) -> set[str]:
+    """What would go if the roots no longer referred to ``candidate``: it, and what then has no reference left.
+
+    ``refs`` may be given for many candidates; only what goes is visited.
+    """
+    refs = references(adj, roots) if refs is None else refs
+    less = {candidate: roots.get(candidate, 0)}
+    gone, queue = set(), deque([candidate] if refs.get(candidate, 0) <= less[candidate] else [])
     while queue:
         a = queue.popleft()
         if a in gone:
             continue
         gone.add(a)
         for b in adj.get(a, ()):
-            refs[b] -= 1
-            if b in total and refs[b] <= 0:
+            less[b] = less.get(b, 0) + 1
+            if refs[b] <= less[b]:
                 queue.append(b)
     return gone

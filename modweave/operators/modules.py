@@ -169,11 +169,11 @@ def size_report(installed: DataFrame, links: DataFrame, candidates: DataFrame |
             if a == "":
                 roots[b] = roots.get(b, 0) + 1
         adj = kernels.adjacency((a, b) for a, b in ties if a != "")
-        out = []
+        refs, out = kernels.references(adj, roots), []
         for c in w["path"]:
             total = sum(size.get(x, 0) for x in kernels.reached(adj, c))
             own = size.get(c, 0)
-            gone = sum(size.get(x, 0) for x in kernels.exclusive(adj, roots, c) if x != c)
+            gone = sum(size.get(x, 0) for x in kernels.exclusive(adj, roots, c, refs) if x != c)
             out.append((c, own, gone, total - own - gone, total))
         return pd.DataFrame(out, columns=["path", "own", "exclusive", "shared", "total"])
 

@@ -12,38 +12,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 PATH = "'/repo/' || lower(replace(p_brand, '#', '')) || '/' || lower(p_type) || '/p' || CAST(p_partkey AS STRING) || '.ts'"
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate"
-_PAIRS = f"""SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_extendedprice, l_shipdate, l_quantity,
-    lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS nextkey
-  FROM {{lineitem}}) WHERE l_quantity >= 49"""
+_TIE = "l_orderkey, l_linenumber, nextkey, l_suppkey, l_extendedprice, l_shipdate"
+_PAIRS = f"""SELECT * FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus, l_extendedprice, l_shipdate,
+    lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS nextkey FROM {{lineitem}}) WHERE nextkey IS NOT NULL"""
+#: Of each part, the line of its last order.
+_LAST = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY {_TIE.replace(',', ' DESC,')} DESC) AS place FROM ({_PAIRS})) WHERE place = 1"""
 
-RELATIONS = {
-    # files, one for each part
-    "nodes": f"SELECT p_partkey AS k, {PATH} AS path FROM {{part}}",
-    # consecutive large lines of an order are imports; some don't resolve, some are of the workspace
-    "edges": f"""SELECT s.path AS src,
-    CAST(row_number() OVER (PARTITION BY s.path ORDER BY l.l_orderkey, l.l_linenumber, l.nextkey, l.l_suppkey, l.l_extendedprice, l.l_shipdate) AS INT) AS seq,
+
+def _edges(pairs: str) -> str:
+    return f"""SELECT s.path AS src, CAST(row_number() OVER (PARTITION BY s.path ORDER BY {_TIE}) AS INT) AS seq,
     CASE WHEN l.l_suppkey % 10 = 7 THEN '@gone' || CAST(l.l_suppkey AS STRING) || '/lib'
          WHEN l.l_linenumber % 3 = 0 THEN '~' || substr(d.path, 7) ELSE './p' || CAST(l.nextkey AS STRING) END AS request,
     CASE WHEN l.l_suppkey % 10 = 7 THEN '' ELSE d.path END AS dst,
     CASE WHEN l.l_suppkey % 10 = 7 THEN 'unresolved' WHEN l.l_suppkey % 10 = 3 THEN 'monorepo' ELSE 'user' END AS resolved_type,
     CASE WHEN l.l_returnflag = 'A' THEN 'only_type' ELSE 'mixed' END AS kind,
     l.l_linestatus = 'F' AS is_dynamic
-  FROM ({_PAIRS}) l JOIN (SELECT p_partkey AS k, {PATH} AS path FROM {{part}}) s ON s.k = l.l_partkey
-    JOIN (SELECT p_partkey AS k, {PATH} AS path FROM {{part}}) d ON d.k = l.nextkey""",
-    # the same by part numbers: few cycles, long chains
-    "sparse": f"""SELECT CAST(l_partkey AS STRING) AS src, CAST(row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, nextkey, l_suppkey, l_extendedprice, l_shipdate) AS INT) AS seq, CAST(nextkey AS STRING) AS dst
-  FROM ({_PAIRS}) WHERE nextkey IS NOT NULL""",
+  FROM ({pairs}) l JOIN (SELECT p_partkey AS k, {PATH} AS path FROM {{part}}) s ON s.k = l.l_partkey
+    JOIN (SELECT p_partkey AS k, {PATH} AS path FROM {{part}}) d ON d.k = l.nextkey"""
+
+
+RELATIONS = {
+    # files, one for each part
+    "nodes": f"SELECT p_partkey AS k, {PATH} AS path FROM {{part}}",
+    # consecutive lines of an order are imports; some don't resolve, some are of the workspace. A dense graph.
+    "edges": _edges(_PAIRS),
+    # each file's import of its last order: a sparse graph with long chains and few cycles
+    "latest": _edges(_LAST),
+    # the same by part numbers
+    "sparse": f"SELECT CAST(l_partkey AS STRING) AS src, CAST(1 AS INT) AS seq, CAST(nextkey AS STRING) AS dst FROM ({_LAST})",
     # package imports: the supplier of a line is the package
     "imports": f"""SELECT DISTINCT n.path AS src, CAST(l.l_suppkey AS INT) AS seq,
     '@s' || CAST(s.s_nationkey AS STRING) || '/m' || CAST(l.l_suppkey AS STRING) || '/sub' AS request, '' AS dst,
     CASE WHEN l.l_suppkey % 13 = 5 THEN 'unresolved' ELSE 'node' END AS resolved_type,
     CASE WHEN l.l_returnflag = 'A' THEN 'only_type' ELSE 'mixed' END AS kind, l.l_linestatus = 'F' AS is_dynamic
-  FROM {{lineitem}} l JOIN {{supplier}} s ON s.s_suppkey = l.l_suppkey JOIN (SELECT p_partkey AS k, {PATH} AS path FROM {{part}}) n ON n.k = l.l_partkey
-  WHERE l.l_quantity >= 42 AND l.l_quantity < 44""",
+  FROM {{lineitem}} l JOIN {{supplier}} s ON s.s_suppkey = l.l_suppkey JOIN (SELECT p_partkey AS k, {PATH} AS path FROM {{part}}) n ON n.k = l.l_partkey""",
     "declared": "SELECT '@s' || CAST(s_nationkey AS STRING) || '/m' || CAST(s_suppkey AS STRING) AS module, s_suppkey % 4 = 1 AS dev FROM {supplier} WHERE s_suppkey % 3 <> 0",
     "exports": f"SELECT n.path AS path, CAST(l.l_suppkey AS INT) AS seq, 'n' || CAST(l.l_suppkey AS STRING) AS name, max(l.l_returnflag) = 'R' AS is_type FROM {{lineitem}} l JOIN (SELECT p_partkey AS k, {PATH} AS path FROM {{part}}) n ON n.k = l.l_partkey GROUP BY n.path, l.l_suppkey",
     "uses": f"SELECT DISTINCT '' AS src, n.path AS path, CASE WHEN l.l_quantity = 50 AND l.l_linenumber = 1 THEN '*' ELSE 'n' || CAST(l.l_suppkey AS STRING) END AS name FROM {{lineitem}} l JOIN (SELECT p_partkey AS k, {PATH} AS path FROM {{part}}) n ON n.k = l.l_partkey WHERE l.l_returnflag = 'R'",
-    # nine parts in ten of one size and name are copies of an installed package
+    # parts of one name and size are copies of an installed package
     "installed": "SELECT p_name AS name, CAST(p_size AS STRING) || '.' || CAST(p_partkey % 3 AS STRING) || '.0' AS version, '/repo' || CASE WHEN p_partkey % 4 = 0 THEN '/packages/a' ELSE '' END || '/node_modules/' || CASE WHEN p_partkey % 5 = 0 THEN 'x/node_modules/' ELSE '' END || replace(p_name, ' ', '-') || CAST(p_partkey AS STRING) AS path, CAST(floor(p_retailprice) AS BIGINT) AS size, p_partkey % 7 <> 0 AS leaf, CAST(p_partkey % 4 AS STRING) AS top FROM {part}",
     "events_graph": "SELECT DISTINCT a AS src, b AS dst FROM (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM {events}) WHERE b IS NOT NULL",
 }

@@ -38,7 +38,7 @@ def joined(c: str):
 
 
 CLOSURE = """roots AS (SELECT path FROM nodes WHERE path LIKE '/repo/brand11/%'),
-steps AS (SELECT DISTINCT src, dst FROM edges WHERE dst <> '' AND resolved_type IN ('user', 'monorepo')),
+steps AS (SELECT DISTINCT src, dst FROM latest WHERE dst <> '' AND resolved_type IN ('user', 'monorepo')),
 reach AS (SELECT path AS entry, path FROM roots UNION SELECT r.entry, s.dst FROM reach r JOIN steps s ON s.src = r.path)
 """
 PKG = "CASE WHEN request LIKE '@%' THEN split_part(request, '/', 1) || '/' || split_part(request, '/', 2) ELSE split_part(request, '/', 1) END"
@@ -181,12 +181,12 @@ def offset_locations(documents):
 # --- graph --------------------------------------------------------------------------------------------------------
 
 
-@query("nodes", "edges", sql=CLOSURE + "SELECT entry, count(*) AS n FROM reach GROUP BY entry", recursive=True)
+@query("nodes", "latest", sql=CLOSURE + "SELECT entry, count(*) AS n FROM reach GROUP BY entry", recursive=True)
 def reach_counts(nodes, edges):
     return graph.reach_counts(graph.followed(edges), brand_roots(nodes))
 
 
-@query("nodes", "edges", sql=CLOSURE + "SELECT DISTINCT path FROM reach", recursive=True)
+@query("nodes", "latest", sql=CLOSURE + "SELECT DISTINCT path FROM reach", recursive=True)
 def reachable_files(nodes, edges):
     return graph.reachable(graph.followed(edges), brand_roots(nodes))
 
@@ -196,19 +196,19 @@ def closure_doubling(sparse):
     return graph.doubled_pairs(sparse.select("src", "dst"))
 
 
-@query("nodes", "edges", sql=CLOSURE + "SELECT r.entry, r.path AS target FROM reach r WHERE r.path LIKE '%9.ts'", recursive=True)
+@query("nodes", "latest", sql=CLOSURE + "SELECT r.entry, r.path AS target FROM reach r WHERE r.path LIKE '%9.ts'", recursive=True)
 def reach_targets(nodes, edges):
     targets = nodes.where(globs.glob_col(F.col("path"), ["**/*9.ts"], ROOT)).select("path")
     return graph.reach_targets(graph.followed(edges), brand_roots(nodes), targets)
 
 
-@query("nodes", "edges", sql=CLOSURE + ", gone AS (SELECT DISTINCT src FROM edges WHERE resolved_type IN ('node', 'unresolved') AND split_part(request, '/', 1) || '/' || split_part(request, '/', 2) = '@gone7/lib') SELECT DISTINCT r.entry FROM reach r JOIN gone g ON g.src = r.path", recursive=True)
+@query("nodes", "latest", sql=CLOSURE + ", gone AS (SELECT DISTINCT src FROM latest WHERE resolved_type IN ('node', 'unresolved') AND split_part(request, '/', 1) || '/' || split_part(request, '/', 2) = '@gone7/lib') SELECT DISTINCT r.entry FROM reach r JOIN gone g ON g.src = r.path", recursive=True)
 def reach_module(nodes, edges):
     front = graph.module_frontier(edges, "@gone7/lib")
     return graph.reach_targets(graph.followed(edges), brand_roots(nodes), front).select("entry").distinct()
 
 
-@query("nodes", "edges", sql=CLOSURE + "SELECT path, min(entry) AS entry FROM reach GROUP BY path", recursive=True)
+@query("nodes", "latest", sql=CLOSURE + "SELECT path, min(entry) AS entry FROM reach GROUP BY path", recursive=True)
 def attributed_entries(nodes, edges):
     return graph.attribute_least(graph.followed(edges), brand_roots(nodes))
 
@@ -223,15 +223,15 @@ def imported_by(edges):
     return graph.imported_by(edges)
 
 
-@query("nodes", "edges", sql="SELECT src, seq, dst FROM edges e WHERE dst <> '' AND resolved_type IN ('user', 'monorepo') AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.path = e.dst AND n.path NOT LIKE '%7.ts')")
+@query("nodes", "edges", sql="SELECT src, seq, dst FROM edges e WHERE dst <> '' AND resolved_type IN ('user', 'monorepo') AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.path = e.dst AND n.path NOT LIKE '%/promo/%')")
 def dangling_edges(nodes, edges):
-    return graph.dangling(nodes.where("path NOT LIKE '%7.ts'"), edges).select("src", "seq", "dst")
+    return graph.dangling(nodes.where("path NOT LIKE '%/promo/%'"), edges).select("src", "seq", "dst")
 
 
-@query("nodes", "edges", sql="""own AS (SELECT path FROM nodes WHERE path LIKE '/repo/brand12/%'), steps AS (SELECT src, dst FROM edges WHERE dst <> '' AND resolved_type IN ('user', 'monorepo')),
+@query("nodes", "latest", sql="""own AS (SELECT path FROM nodes WHERE path LIKE '/repo/brand12/%'), steps AS (SELECT src, dst FROM latest WHERE dst <> '' AND resolved_type IN ('user', 'monorepo')),
 reach AS (SELECT path FROM own UNION SELECT s.dst FROM reach r JOIN steps s ON s.src = r.path),
 kept AS (SELECT path FROM reach WHERE path LIKE '/repo/brand12/%' OR path LIKE '/repo/brand21/%')
-SELECT e.src, e.seq, e.dst FROM edges e WHERE e.src IN (SELECT path FROM kept) AND (e.dst = '' OR e.dst IN (SELECT path FROM kept))""", recursive=True)
+SELECT e.src, e.seq, e.dst FROM latest e WHERE e.src IN (SELECT path FROM kept) AND (e.dst = '' OR e.dst IN (SELECT path FROM kept))""", recursive=True)
 def rule_slice(nodes, edges):
     return graph.slice_rule(nodes, edges, "/repo/brand12", ["/repo/brand21"])[1].select("src", "seq", "dst")
 
@@ -279,17 +279,17 @@ def cycle_requests(sparse):
     return graph.cycle_hops(graph.cycles_scc(nodes, edges), edges).select("hop", "src", "dst", "request")
 
 
-@query("nodes", "edges")
+@query("nodes", "latest")
 def parent_links(nodes, edges):
     return graph.parent_links(edges, brand_roots(nodes))
 
 
-@query("nodes", "edges")
+@query("nodes", "latest")
 def first_parent_entries(nodes, edges):
     return graph.attribute_first(edges, brand_roots(nodes))
 
 
-@query("nodes", "edges")
+@query("nodes", "latest")
 def resolution_paths(nodes, edges):
     return graph.paths(edges, brand_roots(nodes), "@gone7/lib").select("entry", "path_no", joined("path"))
 
@@ -321,12 +321,12 @@ def module_boundaries(edges):
     return detectors.boundaries(edges, rules, ROOT)
 
 
-@query("nodes", "edges", sql=CLOSURE + ", least AS (SELECT path, min(entry) AS entry FROM reach GROUP BY path) SELECT 'file' AS type, '' AS importer, entry, path AS file, '' AS module, '' AS request FROM least WHERE path LIKE '%/promo/%' AND path NOT LIKE '/repo/brand11/%' AND path NOT LIKE '%3.ts' UNION ALL SELECT 'module', min(e.src), l.entry, '', e.request[:length(e.request) - 4] || '/lib', e.request FROM least l JOIN edges e ON e.src = l.path WHERE e.resolved_type = 'unresolved' AND e.request LIKE '@gone1%' GROUP BY l.entry, e.request", recursive=True)
+@query("nodes", "latest", sql=CLOSURE + ", least AS (SELECT path, min(entry) AS entry FROM reach GROUP BY path) SELECT 'file' AS type, '' AS importer, entry, path AS file, '' AS module, '' AS request FROM least WHERE path LIKE '%/promo/%' AND path NOT LIKE '/repo/brand11/%' AND path NOT LIKE '%3.ts' UNION ALL SELECT 'module', min(e.src), l.entry, '', e.request[:length(e.request) - 4] || '/lib', e.request FROM least l JOIN latest e ON e.src = l.path WHERE e.resolved_type = 'unresolved' AND e.request LIKE '@gone1%' GROUP BY l.entry, e.request", recursive=True)
 def restricted_imports(nodes, edges):
     return detectors.restricted_imports(nodes, edges, ["brand11/**"], ["**/promo/**"], ["@gone1*"], ignore=["**/*3.ts"], root=ROOT)
 
 
-@query("nodes", "edges", sql=CLOSURE.replace("/repo/brand11/%'", "/repo/brand1%' AND path NOT LIKE '/repo/brand13/%'") + """, front AS (SELECT DISTINCT src, request AS module FROM edges WHERE resolved_type = 'unresolved' AND request LIKE '@gone2%')
+@query("nodes", "latest", sql=CLOSURE.replace("/repo/brand11/%'", "/repo/brand1%' AND path NOT LIKE '/repo/brand13/%'") + """, front AS (SELECT DISTINCT src, request AS module FROM latest WHERE resolved_type = 'unresolved' AND request LIKE '@gone2%')
 SELECT entry, path AS file, '' AS module FROM reach WHERE path LIKE '%/promo/p1%' AND entry NOT LIKE '%/promo/p1%' UNION ALL SELECT DISTINCT r.entry, '', f.module FROM reach r JOIN front f ON f.src = r.path""", recursive=True)
 def restricted_importers(nodes, edges):
     return detectors.restricted_importers(nodes, edges, ["brand1*/**"], ["brand13/**"], ["**/promo/p1*"], ["@gone2*"], root=ROOT)
@@ -337,7 +337,7 @@ def restricted_direct_importers(edges):
     return detectors.restricted_direct_importers(edges, ["**/standard/**"], ["@gone3*"], allow=["brand1*/**"], ignore=["**/*7.ts"], root=ROOT)
 
 
-@query("nodes", "edges", "imports", "declared", sql=CLOSURE + f", least AS (SELECT path, min(entry) AS entry FROM reach GROUP BY path) SELECT DISTINCT {PKG} AS dependency, i.src AS path, i.request, l.entry FROM imports i JOIN least l ON l.path = i.src JOIN declared d ON d.dev AND d.module = {PKG}", recursive=True)
+@query("nodes", "latest", "imports", "declared", sql=CLOSURE + f", least AS (SELECT path, min(entry) AS entry FROM reach GROUP BY path) SELECT DISTINCT {PKG} AS dependency, i.src AS path, i.request, l.entry FROM imports i JOIN least l ON l.path = i.src JOIN declared d ON d.dev AND d.module = {PKG}", recursive=True)
 def dev_deps_in_production(nodes, edges, imports, declared):
     dev = declared.where("dev").select(F.lit("").alias("package_root"), "module")
     return detectors.dev_deps_in_prod(nodes, edges.unionByName(imports), ["brand11/**"], dev, root=ROOT)
@@ -403,17 +403,17 @@ def files_per_module(imports):
     return modules.files_per_module(modules.used_modules(imports))
 
 
-@query("nodes", "edges", "imports", sql=CLOSURE + f", {USED} SELECT DISTINCT r.entry, u.module FROM reach r JOIN used u ON u.path = r.path", recursive=True)
+@query("nodes", "latest", "imports", sql=CLOSURE + f", {USED} SELECT DISTINCT r.entry, u.module FROM reach r JOIN used u ON u.path = r.path", recursive=True)
 def modules_by_entry(nodes, edges, imports):
     return modules.modules_by_entry(edges, modules.used_modules(imports), brand_roots(nodes))
 
 
-@query("nodes", "edges", "imports", sql=CLOSURE + f", {USED} SELECT u.module, count(DISTINCT r.entry) AS entries FROM reach r JOIN used u ON u.path = r.path GROUP BY u.module", recursive=True)
+@query("nodes", "latest", "imports", sql=CLOSURE + f", {USED} SELECT u.module, count(DISTINCT r.entry) AS entries FROM reach r JOIN used u ON u.path = r.path GROUP BY u.module", recursive=True)
 def entries_by_module(nodes, edges, imports):
     return modules.modules_by_entry(edges, modules.used_modules(imports), brand_roots(nodes)).groupBy("module").agg(F.count_distinct("entry").alias("entries"))
 
 
-@query("nodes", "edges", "imports", sql=CLOSURE + f", {USED} SELECT DISTINCT r.entry, u.module FROM reach r JOIN used u ON u.path = r.path WHERE r.entry NOT IN (SELECT dst FROM edges)", recursive=True)
+@query("nodes", "latest", "imports", sql=CLOSURE + f", {USED} SELECT DISTINCT r.entry, u.module FROM reach r JOIN used u ON u.path = r.path WHERE r.entry NOT IN (SELECT dst FROM latest)", recursive=True)
 def modules_by_entry_compat(nodes, edges, imports):
     return modules.modules_by_entry(edges, modules.used_modules(imports), brand_roots(nodes), compat=True)
 
@@ -456,8 +456,9 @@ def total_sizes(part, sparse):
 @query("part", "sparse")
 def size_report(part, sparse):
     own = part.select(F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("version"), F.col("p_partkey").cast("string").alias("path"), F.floor("p_retailprice").cast("long").alias("size"))
-    roots = own.where("path LIKE '%1'").select(F.lit("").alias("src"), F.col("path").alias("dst"))
-    return modules.size_report(own, sparse.select("src", "dst").union(roots), own.where("path LIKE '%11'"))
+    used = sparse.select(F.col("dst").alias("path"))
+    roots = own.join(used, "path", "left_anti").select(F.lit("").alias("src"), F.col("path").alias("dst"))
+    return modules.size_report(own, sparse.select("src", "dst").union(roots))
 
 
 @query("nodes", sql="SELECT path, k AS size FROM nodes WHERE path LIKE '%3.ts' OR path LIKE '/repo/brand%/economy/%'")
@@ -502,7 +503,7 @@ def overlapping_patterns(nodes):
     return lint.overlaps(nodes, ["brand11/**", "brand1*/**", "**/*1.ts", "brand*/economy/**", "**/economy/**"], ROOT)
 
 
-@query("nodes", "edges", sql="e AS (SELECT path FROM nodes WHERE path NOT IN (SELECT dst FROM edges)), d AS (SELECT unnest(['/repo', '/repo/' || split_part(path, '/', 3), '/repo/' || split_part(path, '/', 3) || '/' || split_part(path, '/', 4)]) AS dir, path IN (SELECT path FROM e) AS hit FROM nodes) SELECT dir, count(*) AS files, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS entries FROM d GROUP BY dir HAVING sum(CAST(hit AS INT)) > 0 AND sum(CAST(hit AS INT)) * 100 >= 60 * count(*)")
+@query("nodes", "latest", sql="e AS (SELECT path FROM nodes WHERE path NOT IN (SELECT dst FROM latest)), d AS (SELECT unnest(['/repo', '/repo/' || split_part(path, '/', 3), '/repo/' || split_part(path, '/', 3) || '/' || split_part(path, '/', 4)]) AS dir, path IN (SELECT path FROM e) AS hit FROM nodes) SELECT dir, count(*) AS files, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS entries FROM d GROUP BY dir HAVING sum(CAST(hit AS INT)) > 0 AND sum(CAST(hit AS INT)) * 100 >= 60 * count(*)")
 def foldable_dirs(nodes, edges):
     return lint.foldable_dirs(nodes, graph.entry_points(nodes, edges), 60)
 
@@ -538,10 +539,10 @@ def request_classes(edges, declared):
     return resolve.classify(asked, declared.select("module")).select("request", F.col("type"))
 
 
-@query("nodes", sql="SELECT replace(path, '.ts', '.native.tsx') AS path FROM nodes WHERE k % 7 = 2 UNION ALL SELECT path FROM nodes WHERE k % 7 = 2")
+@query("nodes", sql="SELECT replace(path, '.ts', '.native.tsx') AS path FROM nodes WHERE path LIKE '%/promo/%' UNION ALL SELECT path FROM nodes WHERE path LIKE '%/promo/%'")
 def suffix_variants(nodes):
-    files = nodes.select("path").union(nodes.where("k % 7 = 2").select(F.replace(F.col("path"), F.lit(".ts"), F.lit(".native.tsx")).alias("path")))
-    return resolve.suffix_variants(files, [".native", ""])
+    native = nodes.where("path LIKE '%/promo/%'").select(F.replace(F.col("path"), F.lit(".ts"), F.lit(".native.tsx")).alias("path"))
+    return resolve.suffix_variants(nodes.select("path").union(native), [".native", ""])
 
 
 @query("nodes", sql="SELECT path FROM nodes WHERE path LIKE '/repo/brand11/%' OR path = (SELECT min(path) FROM nodes WHERE path LIKE '/repo/brand12/%')")
