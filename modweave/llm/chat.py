@@ -89,7 +89,8 @@ def branches(nodes: DataFrame, top: int | None = None) -> DataFrame:
 def threads(rows: DataFrame) -> DataFrame:
     """``rows(conv_id, turn, role, text)`` as reply trees: each row answers the one before it by turn.
 
-    Ties and null turns are put in order by role and text; nulls come first.
+    Ties and null turns are put in order by role and text; nulls come first. Repeated rows are turns of their own.
+    Null roles and texts are empty; a null id is a conversation. An empty table gives none; extra columns are not read.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     out = rows.select("conv_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.row_number().over(order).cast("long").alias("node"))
