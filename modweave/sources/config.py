@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 from dataclasses import dataclass, field
 
 from modweave.functions.globs import compile_globs
-from modweave.sources.manifests import parse_jsonc
+from modweave.sources.manifests import _JSONC, _TOKEN, parse_jsonc
 
 VERSIONS = [f"1.{i}" for i in range(13)]
 #: Each check with the options it takes.
@@ -225,8 +226,6 @@ def compact(raw: dict) -> dict:
 
 def trailing_commas(text: str, fix: bool = False) -> tuple[int, str]:
     """How many trailing commas a configuration has, and its text, without them if ``fix``."""
-    from modweave.sources.manifests import _JSONC
-
     spans = [m.span() for m in _JSONC.finditer(text) if m[0] == ","]
     out = text
     for a, b in reversed(spans) if fix else []:
@@ -235,13 +234,34 @@ def trailing_commas(text: str, fix: bool = False) -> tuple[int, str]:
 
 
 def drop_patterns(text: str, dead: list[str]) -> str:
-    """A configuration's text without these pattern strings in lists; comments and the rest stay as they are."""
-    import json
-    import re
-
-    for p in dead:
-        quoted = re.escape(json.dumps(p))
-        text = re.sub(rf"(?<=[\[,])(\s*){quoted}\s*,(?=\s*\S)(?!\s*[\]])", r"", text)
-        text = re.sub(rf",\s*{quoted}(?=\s*,?\s*\])", "", text)
-        text = re.sub(rf"(?<=\[)\s*{quoted}\s*,?\s*(?=\])", "", text)
+    """A configuration's text without these strings in its lists; comments and the rest stay as they are.
+
+    With a string goes the comma after it, or the one before it if it is the last.
+    """
+    tokens = [m for m in _TOKEN.finditer(text) if m[0][0] != "/"]
+    stack: list[str] = []
+    cuts: list[tuple[int, int]] = []
+    comma: tuple[int, int] | None = None  # the one before, if still there
+    gone = set(dead)
+    for i, m in enumerate(tokens):
+        t = m[0]
+        if t in "{[":
+            stack.append(t)
+            comma = None
+        elif t in "}]":
+            stack.pop()
+            comma = None
+        elif t == ",":
+            comma = m.span() if not (cuts and cuts[-1][1] >= m.end()) else comma
+        elif t[0] == '"' and stack and stack[-1] == "[" and json.loads(t) in gone:
+            after = tokens[i + 1] if i + 1 < len(tokens) else None
+            if after is not None and after[0] == ",":
+                space = len(text[after.end() :]) - len(text[after.end() :].lstrip(" "))
+                cuts.append((m.start(), after.end() + space))
+            else:
+                cuts.append(m.span())
+                if comma:
+                    cuts.append(comma)
+    for a, b in sorted(cuts, reverse=True):
+        text = text[:a] + text[b:]
     return text

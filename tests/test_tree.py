@@ -122,7 +122,10 @@ def test_config_errors():
             config.parse_config(bad)
     assert config.trailing_commas('{"a": [1,], // x,}\n}', True) == (2, '{"a": [1] // x,}\n}')
     assert config.compact({"rules": [{"path": ".", "orphanFilesDetection": [{"enabled": True}]}]})["rules"][0]["orphanFilesDetection"] is True
-    assert config.drop_patterns('["a", /* c */ "dead", "b"]', ["dead"]) == '["a", /* c */ "b"]' or "dead" not in config.drop_patterns('["a", "dead", "b"]', ["dead"])
+    drop = config.drop_patterns
+    assert drop('["a", /* c */ "dead", "b"]', ["dead"]) == '["a", /* c */ "b"]'
+    assert drop('["a", "dead" // c\n]', ["dead"]) == '["a"  // c\n]' and drop('["dead"]', ["dead"]) == "[]" and drop('["dead", "dead", "x"]', ["dead"]) == '["x"]'
+    assert drop('{"k": ["dead", "gone"], "dead": "dead"}', ["dead", "gone"]) == '{"k": [], "dead": "dead"}'
 
 
 def test_edits():
@@ -168,3 +171,17 @@ def test_installed_and_sizes(spark, tmp_path):
     a = report["a1.0.0"]
     assert a.exclusive > 19_000 and a.total == a.own + a.exclusive + a.shared
     assert commands.prune_docs(spark, str(tmp_path)).count() == 6
+
+
+def test_lint(spark, tree):
+    from modweave.plans.lint import lint_config, lint_fix
+
+    text = '{"configVersion": "1.12", "rules": [{"path": ".", "prodEntryPoints": ["src/*.ts", "src/a.ts", /* gone */ "none/**", "!never/"], "missingNodeModulesDetection": {"excludeModules": ["missing-*", "left-pad"]}}]}'
+    dead, over = lint_config(config.parse_config(text), tree)
+    assert sorted((r.place, r.pattern, r.severity) for r in dead.collect()) == [
+        ("rules[0].missingNodeModulesDetection.excludeModules", "left-pad", "error"), ("rules[0].prodEntryPoints", "!never/", "warning"), ("rules[0].prodEntryPoints", "none/**", "error"),
+    ]
+    assert [(r.a, r.b, r.kind, r.shared) for r in over.collect()] == [("src/a.ts", "src/*.ts", "contained", 1)]
+    fixed = lint_fix(text, dead)
+    assert "none/**" not in fixed and "left-pad" not in fixed and "!never/" in fixed
+    config.parse_config(fixed)
