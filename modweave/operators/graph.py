@@ -82,15 +82,21 @@ def reach_pairs(edges: DataFrame, roots: DataFrame, local_edges: int = LOCAL_EDG
 
 
 def doubled_pairs(edges: DataFrame) -> DataFrame:
-    """``src, dst`` of the whole closure by path doubling: as many rounds as the logarithm of the longest path."""
-    reach = cut(edges.select("src", "dst").distinct())
+    """``src, dst`` of the whole closure by path doubling: as many rounds as the logarithm of the longest path.
+
+    ``jump`` has the pairs exactly 2**k steps apart, ``reach`` those up to 2**k; each round joins the two, so what
+    is made is at most the closure times the jumps from a node.
+    """
+    jump = reach = cut(edges.select("src", "dst").distinct())
     n = reach.count()
     while True:
-        step = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst")
+        far = jump.select(F.col("src").alias("mid"), F.col("dst").alias("to"))
+        step = reach.join(far, F.col("dst") == F.col("mid")).select("src", F.col("to").alias("dst"))
         reach = cut(reach.union(step).distinct())
         if (m := reach.count()) == n:
             return reach
         n = m
+        jump = cut(jump.join(far, F.col("dst") == F.col("mid")).select("src", F.col("to").alias("dst")).distinct())
 
 
 def _grouped(edges: DataFrame, roots: DataFrame, fn, schema: str) -> DataFrame:
