@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modweave.llm.common import cut, inline, table
@@ -61,6 +61,12 @@ def earliest_deadline_first(jobs: list[tuple[int, int, str, int]]) -> list[dict]
     return out
 
 
+def sized(docs: DataFrame, source: str = "source") -> list[Column]:
+    """What the schedule of a row depends on: ``src, size, h``."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return [F.coalesce(docs[source].cast("string"), F.lit("")).alias("src"), (F.octet_length(text) + 1).cast("long").alias("size"), F.xxhash64(docs["doc_id"], text).alias("h")]
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, blocks: int = BLOCKS, source: str = "source", carry: list[str] | None = None) -> DataFrame:
     """``row_`` (struct of the columns ``carry``, by default all), ``src, size, block, release, deadline, slot, start``.
 
@@ -74,10 +80,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, blocks: int =
     sources. Null text counts one byte; a null source is the source ''. Rows equal in id and text are placed
     next to each other. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     columns = [docs[c] for c in carry or docs.columns]
-    text = F.coalesce(docs["text"], F.lit(""))
-    rows = docs.select(F.struct(*columns).alias("row_"), F.coalesce(docs[source].cast("string"), F.lit("")).alias("src"), (F.octet_length(text) + 1).cast("long").alias("size"), F.xxhash64(docs["doc_id"], text).alias("h"))
+    return scheduled(docs.select(F.struct(*columns).alias("row_"), *sized(docs, source)), weights, blocks)
+
+
+def scheduled(rows: DataFrame, weights: dict[str, float] | None = None, blocks: int = BLOCKS) -> DataFrame:
+    """``mix`` of rows ``row_, src, size, h``; ``row_`` has a ``doc_id``."""
+    spark = rows.sparkSession
     rows = rows.withColumn("part", F.pmod("h", F.lit(PARTS)).cast("int"))
     parts = cut(rows.groupBy("src", "part").agg(F.sum("size").alias("bytes")))
     totals = {r["src"]: r["bytes"] for r in parts.groupBy("src").agg(F.sum("bytes").alias("bytes")).collect()}

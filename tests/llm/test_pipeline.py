@@ -55,3 +55,19 @@ def test_hard_rows_pass_through(spark, docs, no_docs):
             assert out.columns == start.columns
             at = spark.createDataFrame(out.collect(), out.schema)
         assert packing.pack(at).count() >= at.count()
+
+
+def test_sequences_follow_the_mix(spark):
+    rng = random.Random(4)
+    say = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(200))
+    source = {i: "big" if i % 10 else "small" for i in range(1500)}
+    docs = spark.createDataFrame([(i, say(), s) for i, s in source.items()], "doc_id long, text string, source string")
+    docs = mixing.in_order(docs)
+    pieces = sorted(corpus_pipeline.pack(spark, docs, "").collect(), key=lambda r: (r.sequence_id, r.offset))
+    assert {r.doc_id for r in pieces} == set(source)
+    # nine to one in the input, three to one in the mix until the small source is used up, at 0.4
+    total, at, small = sum(r.length for r in pieces), 0, 0
+    for r in pieces:
+        at, small = at + r.length, small + r.length * (source[r.doc_id] == "small")
+        if 0.05 < at / total < 0.38:
+            assert abs(small / at - 0.25) < 0.05
