@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from modweave.llm.common import cut, join_sized, table
 from modweave.operators.components import components
 
-SHINGLE, PERCENT = 4, 80
+#: Words of a shingle in the query and in the pipeline's stage (8 at most), and the likeness of near-duplicates.
+SHINGLE, STAGE_SHINGLE, PERCENT = 4, 5, 80
 #: 32 bands of 4 rows: of two sets just at 0.8, (1 - 0.8**4)**32 = 5e-8 share no band.
 BANDS, BAND_ROWS = 32, 4
 ROWS = BANDS * BAND_ROWS
@@ -21,7 +22,7 @@ ROWS = BANDS * BAND_ROWS
 ELEMENTS, CHUNK = 150_000, 256
 
 _U = np.uint64
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], _U)
+_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], _U)
 _NONE = _U(2**64 - 1)
 
 
@@ -31,23 +32,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
-    """The sorted distinct 64-bit hashes of each text's word shingles."""
+def shingle_sets(texts: list[bytes | None], shingle: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's shingles of ``shingle`` words."""
     split = [(t or b"").lower().split() for t in texts]  # bytes: A-Z only, ASCII white space only
     counts = np.array([len(w) for w in split], np.int64)
     h = np.fromiter((x for w in split for x in map(xxhash.xxh3_64_intdigest, w)), _U, int(counts.sum()))
     ends = np.cumsum(counts)
     rolled = np.zeros(len(h), _U)
-    if len(h) >= SHINGLE:
-        n = len(h) - SHINGLE + 1
+    if len(h) >= shingle:
+        n = len(h) - shingle + 1
         s = np.zeros(n, _U)
-        for k in range(SHINGLE):
+        for k in range(shingle):
             s += h[k : k + n] * _MULTIPLIERS[k]
         rolled[:n] = mixed(s)
     out = []
     for end, n in zip(ends.tolist(), counts.tolist()):
-        if n >= SHINGLE:
-            out.append(np.unique(rolled[end - n : end - SHINGLE + 1]))
+        if n >= shingle:
+            out.append(np.unique(rolled[end - n : end - shingle + 1]))
         elif n:
             out.append(mixed((h[end - n : end] * _MULTIPLIERS[:n]).sum(keepdims=True) + _U(n)))
         else:
@@ -95,32 +96,38 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        ids = batch.column("doc_id")
-        lo = 0
-        while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size < ELEMENTS * 6):
-                size += len(texts[hi] or b"")
-                hi += 1
-            sets = shingle_sets(texts[lo:hi])
-            keys = band_keys(superminhash(sets))
-            yield pa.RecordBatch.from_arrays([
-                ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.ListArray.from_arrays(np.arange(0, (hi - lo + 1) * BANDS, BANDS, dtype=np.int32), pa.array(keys.reshape(-1))),
-            ], ["doc_id", "n_shingles", "digest", "bands"])
-            lo = hi
-
-
-def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            b = batch.slice(lo, 256)
-            sets = shingle_sets(b.column("text").cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
+def _signed(shingle: int):
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            ids = batch.column("doc_id")
+            lo = 0
+            while lo < len(texts):
+                hi, size = lo, 0
+                while hi < len(texts) and (hi == lo or size < ELEMENTS * 6):
+                    size += len(texts[hi] or b"")
+                    hi += 1
+                sets = shingle_sets(texts[lo:hi], shingle)
+                keys = band_keys(superminhash(sets))
+                yield pa.RecordBatch.from_arrays([
+                    ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.ListArray.from_arrays(np.arange(0, (hi - lo + 1) * BANDS, BANDS, dtype=np.int32), pa.array(keys.reshape(-1))),
+                ], ["doc_id", "n_shingles", "digest", "bands"])
+                lo = hi
+
+    return signed
+
+
+def _with_sets(shingle: int):
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                b = batch.slice(lo, 256)
+                sets = shingle_sets(b.column("text").cast(pa.binary()).to_pylist(), shingle)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
+
+    return with_sets
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -157,7 +164,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_c, pa.int64()), pa.array(out_id, pa.int64())], ["src", "dst"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The pairs ``(c, id)`` whose full sets are alike. A centre goes with each chunk of about ``CHUNK`` of its members."""
     chunks = pairs.groupBy("c").agg((F.ceil(F.count(F.lit(1)) / CHUNK)).cast("int").alias("chunks"))
     wide = pairs.join(chunks, "c")
@@ -167,14 +174,14 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ids = cut(asked.select("id").distinct())
     slim = docs.select("doc_id", "text").where("doc_id is not null")
     texts = join_sized(slim, ids, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = texts.mapInArrow(_with_sets, "id long, set binary").dropDuplicates(["id", "set"])
+    sets = texts.mapInArrow(_with_sets(shingle), "id long, set binary").dropDuplicates(["id", "set"])
     rows = asked.join(sets, "id").select("c", "own", "id", "salt", "set")
     rows = rows.repartition("c", "salt").sortWithinPartitions("c", "salt", F.col("own").desc())
     return rows.mapInArrow(_verified, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``.
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``, by shingles of ``shingle`` words.
 
     Texts with equal shingle sets are one class, stood for by its least id, so copies are never paired. A band's
     classes are compared with the least one of them (a star, not all pairs); links are confirmed on full sets and
@@ -186,7 +193,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(docs.mapInArrow(_signed, "doc_id long, n_shingles long, digest binary, bands array<long>"))
+    signed = cut(docs.mapInArrow(_signed(shingle), "doc_id long, n_shingles long, digest binary, bands array<long>"))
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
     classes = cut(classes.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     spread = classes.select(F.explode("bands").alias("key"), "rep", "n").repartition("key")
@@ -195,11 +202,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near = lambda a, b: 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
     star = shared.where((F.col("rep") != F.col("first.rep")) & near(F.col("n"), F.col("first.n")))
     star = cut(star.select(F.col("first.rep").alias("c"), F.col("rep").alias("id")).distinct())
-    links = cut(verified(star, docs))
+    links = cut(verified(star, docs, shingle))
     grouped = components(links)
     rest = _across(shared, grouped, star, near)
     if not rest.isEmpty():
-        links = cut(links.union(verified(rest, docs)))
+        links = cut(links.union(verified(rest, docs, shingle)))
         grouped = components(links)
     # also through documents that have several classes
     found = signed.join(classes.select("digest", "rep"), "digest", "left").join(grouped, F.col("rep") == F.col("node"), "left")
@@ -221,9 +228,9 @@ def _across(shared: DataFrame, grouped: DataFrame, star: DataFrame, near) -> Dat
     return cut(pairs.join(star, ["c", "id"], "left_anti"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
     """The rows of ``docs``, all columns, without those of which a near-duplicate with a smaller id is there."""
-    gone = cut(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_")).distinct())
+    gone = cut(near_duplicates(docs, shingle).where("not kept").select(F.col("doc_id").alias("gone_")).distinct())
     return join_sized(docs, gone, docs["doc_id"] == F.col("gone_"), "left_anti")
 
 

@@ -118,3 +118,13 @@ def test_sizes_of_hot_groups(spark):
     for r in out.collect():
         sizes[r.component_id] += 1
     assert dict(sizes) == {0: 1000}
+
+
+def test_stage_takes_five_words(spark):
+    a = [f"w{i}" for i in range(84)]
+    b = a[:]
+    b[20] = b[50] = "x"  # in common: 73 of 89 shingles of four words (0.82), 70 of 90 of five (0.78)
+    texts = {1: " ".join(a), 2: " ".join(b)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in near_dups.one_of_each(docs, 4).collect()} == {1}
+    assert {r.doc_id for r in near_dups.one_of_each(docs).collect()} == {1, 2}
