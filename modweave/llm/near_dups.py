@@ -202,19 +202,32 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     near = lambda a, b: 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
     star = shared.where((F.col("rep") != F.col("first.rep")) & near(F.col("n"), F.col("first.n")))
     star = cut(star.select(F.col("first.rep").alias("c"), F.col("rep").alias("id")).distinct())
-    links = cut(verified(star, docs, shingle))
+    several = _several(signed, classes)
+    own = several.where("rep != least").select(F.col("least").alias("src"), F.col("rep").alias("dst"))
+    links = cut(verified(star, docs, shingle).union(own))
     grouped = components(links)
     rest = _across(shared, grouped, star, near)
     if not rest.isEmpty():
         links = cut(links.union(verified(rest, docs, shingle)))
         grouped = components(links)
-    # also through documents that have several classes
     found = signed.join(classes.select("digest", "rep"), "digest", "left").join(grouped, F.col("rep") == F.col("node"), "left")
-    c = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep", "doc_id"))
+    whole = several.select(F.col("doc_id").alias("several_"), "least").distinct().join(grouped, F.col("least") == F.col("node"), "left")
+    whole = cut(whole.select("several_", F.coalesce("component", "least").alias("whole_")))
+    found = join_sized(found, whole, F.col("doc_id") == F.col("several_"), "left")
+    c = F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("whole_", "component", "rep", "doc_id"))
     found = found.select("doc_id", "n_shingles", c.alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _several(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``doc_id, rep, least`` for the classes of each id that has several texts: the least class joins its others."""
+    ids = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
+    ids = cut(ids.where("a != b").select(F.col("doc_id").alias("id")))
+    rows = join_sized(signed, ids, F.col("doc_id") == F.col("id"), "left_semi")
+    reps = rows.join(classes.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()
+    return cut(reps.join(reps.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id"))
+
+
 def _across(shared: DataFrame, grouped: DataFrame, star: DataFrame, near) -> DataFrame:
     """Pairs of one band but different components: its smaller components' members with all others, none twice."""
     rows = shared.join(grouped, F.col("rep") == F.col("node"), "left")

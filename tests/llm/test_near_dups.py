@@ -128,3 +128,12 @@ def test_stage_takes_five_words(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r.doc_id for r in near_dups.one_of_each(docs, 4).collect()} == {1}
     assert {r.doc_id for r in near_dups.one_of_each(docs).collect()} == {1, 2}
+
+
+def test_classes_of_one_id_are_joined(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(20)) for c in "xyz")
+    # 5 is the least id of neither class, 7 has a text without words too
+    rows = [(1, x), (2, y), (5, x), (5, y), (6, z), (7, None), (7, z), (8, None), (8, " ")]
+    check(spark, rows)
+    out = near_dups.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in out.collect()} == {1, 6, 8}
