@@ -18,6 +18,9 @@ SHINGLE, STAGE_SHINGLE, PERCENT = 4, 5, 80
 #: 32 bands of 4 rows: of two sets just at 0.8, (1 - 0.8**4)**32 = 5e-8 share no band.
 BANDS, BAND_ROWS = 32, 4
 ROWS = BANDS * BAND_ROWS
+#: Slots of two signatures (one byte each) that must agree before full sets are compared: at 0.8 some 102 of 128 do,
+#: and 77 are 5.7 standard deviations below.
+AGREE = 77
 #: Shingles whose permutations are held at a time, and members compared with one copy of a centre.
 ELEMENTS, CHUNK = 150_000, 256
 
@@ -108,12 +111,14 @@ def _signed(shingle: int):
                     size += len(texts[hi] or b"")
                     hi += 1
                 sets = shingle_sets(texts[lo:hi], shingle)
-                keys = band_keys(superminhash(sets))
+                low = superminhash(sets)
+                keys = band_keys(low)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(np.arange(0, (hi - lo + 1) * BANDS, BANDS, dtype=np.int32), pa.array(keys.reshape(-1))),
-                ], ["doc_id", "n_shingles", "digest", "bands"])
+                    pa.array([x.tobytes() for x in low.astype(np.uint8)], pa.binary()),
+                ], ["doc_id", "n_shingles", "digest", "bands", "sig"])
                 lo = hi
 
     return signed
@@ -121,15 +126,29 @@ def _signed(shingle: int):
 
 def _with_sets(shingle: int):
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # rows repeated within a task go no further
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 b = batch.slice(lo, 256)
-                sets = shingle_sets(b.column("text").cast(pa.binary()).to_pylist(), shingle)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set"])
+                out = []
+                for i, s in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text").cast(pa.binary()).to_pylist(), shingle)):
+                    digest = xxhash.xxh3_128_digest(raw := s.tobytes())
+                    if (i, digest) not in seen:
+                        seen.add((i, digest))
+                        out.append((i, digest, raw))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ((), (), ()), (pa.int64(), pa.binary(), pa.binary()))], ["id", "digest", "set"])
 
     return with_sets
 
 
+def sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """``id, digest, set`` of the texts with these ids, partitioned by id; equal sets of one id once."""
+    slim = docs.select("doc_id", "text").where("doc_id is not null")
+    texts = join_sized(slim, ids, F.col("doc_id") == F.col("id"), "left_semi")
+    sets = texts.mapInArrow(_with_sets(shingle), "id long, digest binary, set binary")
+    return sets.repartition("id").dropDuplicates(["id", "digest"])
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     a, b = (a, b) if len(a) <= len(b) else (b, a)
     if 100 * len(a) < PERCENT * len(b):
@@ -171,42 +190,57 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataF
     members = wide.select("id", "c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("salt"), F.lit(False).alias("own"))
     centres = chunks.select(F.col("c").alias("id"), "c", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("salt"), F.lit(True).alias("own"))
     asked = cut(members.union(centres))
-    ids = cut(asked.select("id").distinct())
-    slim = docs.select("doc_id", "text").where("doc_id is not null")
-    texts = join_sized(slim, ids, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = texts.mapInArrow(_with_sets(shingle), "id long, set binary").dropDuplicates(["id", "set"])
+    sets = sets_of(docs, cut(asked.select("id").distinct()), shingle)
     rows = asked.join(sets, "id").select("c", "own", "id", "salt", "set")
     rows = rows.repartition("c", "salt").sortWithinPartitions("c", "salt", F.col("own").desc())
     return rows.mapInArrow(_verified, "src long, dst long")
 
 
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8).reshape(-1, ROWS) for x in ("sig_c", "sig_id"))
+            keep = np.count_nonzero(a == b, axis=1) >= AGREE
+            yield pa.RecordBatch.from_arrays([batch.column(x).filter(pa.array(keep)) for x in ("c", "id")], ["c", "id"])
+
+
+def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``(c, id)`` whose signatures agree in ``AGREE`` slots or more, so that few full sets are shuffled in vain."""
+    sigs = classes.select("rep", "sig")
+    wide = pairs.join(sigs.select(F.col("rep").alias("c"), F.col("sig").alias("sig_c")), "c")
+    wide = wide.join(sigs.select(F.col("rep").alias("id"), F.col("sig").alias("sig_id")), "id").select("c", "id", "sig_c", "sig_id")
+    return cut(wide.mapInArrow(_agreeing, "c long, id long").distinct())
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``, by shingles of ``shingle`` words.
 
     Texts with equal shingle sets are one class, stood for by its least id, so copies are never paired. A band's
     classes are compared with the least one of them (a star, not all pairs); links are confirmed on full sets and
-    joined up. What a band still holds from other components is then compared with all its members of another
-    component, so no link that any band shows is lost. Exact links only: 100 * common >= 80 * union.
+    joined up. The classes of bands that then still hold several components are joined exactly, whatever their
+    bands, by the rarest fifth of their shingles (``_rest``), so no link that any band shows is lost. Pairs whose
+    signatures are too far apart for 0.8 are put aside before that. Exact links only: 100 * common >= 80 * union.
 
     Null text or no words: n_shingles 0, linked with nothing. Rows with one id are one document, linked as any
     of them is. A null id links with nothing and is kept. An empty table gives an empty result. Extra columns
     are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(docs.mapInArrow(_signed(shingle), "doc_id long, n_shingles long, digest binary, bands array<long>"))
+    signed = cut(docs.mapInArrow(_signed(shingle), "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary"))
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
-    classes = cut(classes.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    classes = cut(classes.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     spread = classes.select(F.explode("bands").alias("key"), "rep", "n").repartition("key")
     least = spread.groupBy("key").agg(F.count(F.lit(1)).alias("in_band"), F.min(F.struct("rep", "n")).alias("first")).where("in_band > 1")
     shared = cut(spread.join(least, "key").select("key", "rep", "n", "first"))
     near = lambda a, b: 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
     star = shared.where((F.col("rep") != F.col("first.rep")) & near(F.col("n"), F.col("first.n")))
-    star = cut(star.select(F.col("first.rep").alias("c"), F.col("rep").alias("id")).distinct())
+    star = agreeing(star.select(F.col("first.rep").alias("c"), F.col("rep").alias("id")).distinct(), classes)
     several = _several(signed, classes)
     own = several.where("rep != least").select(F.col("least").alias("src"), F.col("rep").alias("dst"))
     links = cut(verified(star, docs, shingle).union(own))
     grouped = components(links)
-    rest = _across(shared, grouped, star, near)
+    rest = _rest(_left(shared, grouped), docs, shingle, near).join(star, ["c", "id"], "left_anti")
+    rest = agreeing(rest, classes)
     if not rest.isEmpty():
         links = cut(links.union(verified(rest, docs, shingle)))
         grouped = components(links)
@@ -228,23 +262,47 @@ def _several(signed: DataFrame, classes: DataFrame) -> DataFrame:
     return cut(reps.join(reps.groupBy("doc_id").agg(F.min("rep").alias("least")), "doc_id"))
 
 
-def _across(shared: DataFrame, grouped: DataFrame, star: DataFrame, near) -> DataFrame:
-    """Pairs of one band but different components: its smaller components' members with all others, none twice."""
-    rows = shared.join(grouped, F.col("rep") == F.col("node"), "left")
-    rows = rows.select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("members"))
-    most = per.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("members", "comp")).alias("most")).where("comps > 1")
-    mixed_ = cut(rows.join(most.select("key", F.col("most.comp").alias("main")), "key"))
-    few = mixed_.where("comp != main").select("key", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("d"))
-    pairs = mixed_.join(few, "key").where((F.col("comp") != F.col("d")) & near(F.col("n"), F.col("m")))
-    pairs = pairs.select(F.least("rep", "r").alias("c"), F.greatest("rep", "r").alias("id")).distinct()
-    return cut(pairs.join(star, ["c", "id"], "left_anti"))
+def _left(shared: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``id, comp`` of the classes in bands that hold members of more than one component."""
+    rows = shared.join(grouped, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    open_ = rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
+    return cut(rows.join(open_, "key", "left_semi").select(F.col("rep").alias("id"), "comp").distinct())
+
+
+def _rest(left: DataFrame, docs: DataFrame, shingle: int, near) -> DataFrame:
+    """Candidates ``(c, id)`` of different components among ``left(id, comp)``, by prefix filtering; exact.
+
+    Of two sets at 0.8 or more, each has at least ceil(0.8 n) of its n shingles in common with the other; so if all
+    shingles are put in one order, the first n - ceil(0.8 n) + 1 of both have one in common. The order is rarest
+    first, so a passage that thousands of documents share makes no candidates of those that have a fifth of other
+    text. Shingles met once come first and match nothing: they are counted, not carried. The work grows with the
+    shingles of ``left``; no pair is made before a rare shingle shows it.
+    """
+    words = cut(sets_of(docs, left.select("id"), shingle).mapInArrow(_exploded, "id long, doc long, n int, h long"))
+    often = words.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    first = words.join(often, "h").groupBy("id", "doc", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
+    room = (F.col("n") - F.expr(f"({PERCENT} * CAST(n AS BIGINT) + 99) DIV 100") + 1 - (F.col("n") - F.size("common"))).cast("int")
+    first = first.withColumn("room", room).where("room > 0")
+    first = first.select("id", "n", F.explode(F.slice("common", 1, F.col("room"))).alias("w")).select("id", "n", "w.h")
+    first = cut(first.distinct().join(left, "id"))
+    other = first.select("h", F.col("id").alias("r"), F.col("n").alias("m"), F.col("comp").alias("d"))
+    pairs = first.join(other, "h").where((F.col("id") < F.col("r")) & (F.col("comp") != F.col("d")) & near(F.col("n"), F.col("m")))
+    return pairs.select(F.col("id").alias("c"), F.col("r").alias("id")).distinct()
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, digest, raw in zip(*(batch.column(x).to_pylist() for x in ("id", "digest", "set"))):
+            h = np.frombuffer(raw, np.int64)
+            fixed = [np.full(len(h), i), np.full(len(h), int.from_bytes(digest[:8], "little", signed=True)), np.full(len(h), len(h), np.int32)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, fixed), pa.array(h)], ["id", "doc", "n", "h"])
 
 
 def one_of_each(docs: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
     """The rows of ``docs``, all columns, without those of which a near-duplicate with a smaller id is there."""
-    gone = cut(near_duplicates(docs, shingle).where("not kept").select(F.col("doc_id").alias("gone_")).distinct())
-    return join_sized(docs, gone, docs["doc_id"] == F.col("gone_"), "left_anti")
+    gone = cut(near_duplicates(docs, shingle).where("not kept").select(F.col("doc_id").alias("gone")).distinct())
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].alias("id"))
+    return join_sized(whole, gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

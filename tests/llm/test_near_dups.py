@@ -75,6 +75,56 @@ def test_links_across_a_band_beyond_its_first_member(spark):
     check(spark, [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))])
 
 
+def test_shared_passages_with_and_without_links(spark, monkeypatch):
+    """Many documents of one passage and some text of their own fall into the same bands; few are near."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(160):
+        own = [f"o{i}.{k}" for k in range(rng.choice([8, 18, 30]))]
+        rows.append((2 * i, " ".join(passage + own)))
+        if i % 4 == 0:
+            own[-1] = "changed"
+            rows.append((2 * i + 1, " ".join(passage + own)))
+    seen = []
+    monkeypatch.setattr(near_dups, "_rest", lambda *a, whole=near_dups._rest: seen.append(1) or whole(*a))
+    check(spark, rows)
+    assert seen
+
+
+def test_rest_is_exact(spark):
+    """Prefix filtering alone finds every pair of different components that is near."""
+    rng = random.Random(2)
+    passage = [f"p{i}" for i in range(20)]
+    texts = {}
+    for i in range(120):
+        words = passage[: rng.randint(0, 20)] + [f"w{rng.randrange(60)}" for _ in range(rng.randint(1, 30))]
+        texts[10 * i] = " ".join(words)
+        for k in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = f"c{k}"
+            texts[10 * i + 1 + k] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    left = docs.selectExpr("doc_id AS id", "doc_id AS comp")
+    found = {(r.c, r.id) for r in near_dups._rest(left, docs, 4, lambda a, b: a > 0).collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    near = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert near and near <= found and len(found) < len(sets) ** 2 / 10
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_ int, gone int, id int")
+    assert [tuple(r) for r in near_dups.one_of_each(docs).collect()] == rows[:1]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    long = [f"v{rng.randrange(5000)}" for _ in range(120_000)]
+    other = long[:]
+    other[60_000:66_000] = [f"n{i}" for i in range(6000)]
+    check(spark, [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[:50_000]))])
+
+
 def test_case_and_white_space(spark):
     check(spark, [(1, "A b C d E f"), (2, "a B\tc\nD e F"), (3, "Ä b c d e f"), (4, "ä b c d e f"), (5, "a\u00a0b c d e f")])
 
