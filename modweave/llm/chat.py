@@ -58,6 +58,7 @@ def branches(nodes: DataFrame, top: int | None = None) -> DataFrame:
     ranked in their tree by mean score, then leaf id; ``top`` keeps the best so many (None: all). Only chosen
     leaves are then expanded, again by doubling. Nodes of a reply cycle have no root and are on no path.
     """
+    nodes = nodes.select("tree", "node", "parent", "score")  # extra columns, of any name, are not read
     known = nodes.select(F.col("tree").alias("t_"), F.col("node").alias("n_")).distinct()
     base = nodes.join(known, nodes["tree"].eqNullSafe(F.col("t_")) & (nodes["parent"] == F.col("n_")), "left")
     base = cut(base.select("tree", "node", F.col("n_").alias("up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("sum"), F.lit(1).cast("long").alias("len")))

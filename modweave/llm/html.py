@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 
 from modweave.llm.common import table
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+#: Within a tag a quote opens a string only as the first sign of a value, as HTML has it.
+_ATTRS = r"(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]++)|=)*+"
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(" + _ATTRS + r")(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr nobr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr nobr math mi mn mo ms mrow mfrac msup msub msubsup msqrt mroot mtext mspace mover munder munderover mstyle semantics".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-#: Never text of the page, whatever the model says.
-_DROPPED = frozenset("head script style textarea title xmp iframe noembed noframes noscript template svg math object audio video canvas select option button datalist map".split())
+#: Never text of the page, whatever the model says: no prose, or what stands in where a player or script is missing.
+_DROPPED = frozenset("head script style textarea title xmp iframe noembed noframes noscript template svg object audio video canvas select option button datalist map annotation annotation-xml".split())
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SCOPE = frozenset("html body table td th caption button article section div main aside nav header footer blockquote li form".split())
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}

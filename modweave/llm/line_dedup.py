@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from modweave.llm.common import cut, table
+from modweave.llm.common import cut, join_sized, table
 
 #: Words a repeated run must have for its later copies to go.
 MIN_WORDS = 5
@@ -21,10 +21,10 @@ AT = [*DOC, "ln"]
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """``k, d, z, ln, h, nw``: each line of each document with its id (a 64-bit hash) and its words."""
+    """``k, d, z, ln, h, h2, nw``: each line of each document with its id (a 64-bit hash), a second hash and its words."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(*doc_key(t), F.posexplode(F.split(t, "\n")).alias("ln", "line"))
-    return rows.select(*AT, F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).alias("nw"))
+    return rows.select(*AT, F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).alias("nw"))
 
 
 def doc_key(text) -> list:
@@ -153,6 +153,22 @@ def _deleted(min_words: int):
     return deleted
 
 
+def distinct_ids(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``own`` and its ids ``h_`` met more than once, with their count ``c`` and first place ``f``.
+
+    Where different lines share a 64-bit id, as the second hash shows, the id is made anew of both; so lines are
+    taken for equal on 128 bits, while only 64 are carried through the suffix array.
+    """
+    ids = own.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*AT)).alias("f"), F.min("h2").alias("a"), F.max("h2").alias("b"))
+    met = cut(ids.where("c > 1").withColumnRenamed("h", "h_"))
+    mixed = met.where("a < b").select(F.col("h_").alias("mixed_"))
+    if mixed.isEmpty():
+        return own, met.select("h_", "c", "f")
+    own = join_sized(own, cut(mixed), F.col("h") == F.col("mixed_"), "left")
+    own = own.withColumn("h", F.when(F.col("mixed_").isNull(), F.col("h")).otherwise(F.xxhash64("h2", "h"))).drop("mixed_")
+    return own, own.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*AT)).alias("f")).where("c > 1").withColumnRenamed("h", "h_")
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``k, d, z, n_lines, runs``: each document's deleted line runs (start, end), by id and text.
 
@@ -162,7 +178,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Copies of a whole text stand for one document first. Lines met once begin no repeated run, so the suffix
     array is made only for documents in which two lines in a row are repeated in a row elsewhere; runs of one
     line need only each line's first place. Counts and first places are pre-aggregated, so a line on a third of
-    the rows is no hot group.
+    the rows is no hot group. Extra columns are not read. Null text: one empty line. An empty table: no rows.
     """
     lines = cut(line_table(docs.select("doc_id", "text")))
     whole = lines.groupBy(*DOC).agg(F.count(F.lit(1)).cast("int").alias("n_lines"), F.sum("nw").alias("words"))
@@ -171,7 +187,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     copied = whole.where("k != of").select(*DOC, "n_lines", F.when(F.col("words") >= min_words, F.array(F.struct(F.lit(0).alias("start"), F.col("n_lines").alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>")).alias("runs"))
     own = lines.join(whole.where("copies > 1 and k != of").select(*DOC), DOC, "left_anti") if not copied.isEmpty() else lines
     own = own.dropDuplicates(AT)
-    met = own.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*AT)).alias("f")).where("c > 1").withColumnRenamed("h", "h_")
+    own, met = distinct_ids(own)
     rows = own.join(met, F.col("h") == F.col("h_"), "left")
     rows = rows.select(*AT, "h", "nw", F.col("h_").isNotNull().alias("rep"), F.coalesce(F.struct(*AT) != F.col("f"), F.lit(False)).alias("again"))
     doc = Window.partitionBy(*DOC)
@@ -201,7 +217,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, without later copies of repeated line runs; ``n_chars``, if there, is brought up to date.
 
-    A row of which nothing is left goes; one whose text had no lines to delete stays as it is. Null text: no
+    A row of which nothing is left goes; one whose text had no lines to delete stays as it is. Extra columns, of any name, stay. Null text: no
     lines. Rows equal in id and text are treated alike, as one document. A null id comes first. An empty table
     gives an empty result.
     """

@@ -1,6 +1,8 @@
 import random
+import struct
 
 import pytest
+import xxhash
 
 #: Rows that every operator on documents must take: nulls in any column, empty and blank texts, repeated rows,
 #: one id twice, a very long text, ties, and columns whose names operators might use themselves.
@@ -27,3 +29,27 @@ def docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], DOCS)
+
+
+def spark_hash(*values):
+    """What xxhash64 gives in Spark for strings, whole numbers (as long) and nulls, one after the other."""
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+@pytest.fixture(scope="session")
+def hashed():
+    return spark_hash
+
+
+#: A text beyond any page of a book, for each operator.
+LONG = "\n".join(" ".join(f"w{(i * 7919 + k * k) % 9973}" for k in range(14)) for i in range(9000))
+
+
+@pytest.fixture(scope="session")
+def long_docs(spark):
+    rows = [(1, LONG, "a"), (2, LONG + " end", "a"), (3, "short text of a few words", "b"), (4, LONG[:700_000], "b")]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")

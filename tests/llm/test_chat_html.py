@@ -104,3 +104,18 @@ def test_pages(spark):
     assert [r.text for r in out if r.page_id == 1] == ["Hello there, this is text."] * 2
     assert len(next(r.text for r in out if r.page_id == 4).split()) == 40000
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_stray_quotes_and_formulas():
+    say = "The harbour was quiet in the morning, and the boats came in one by one with the tide. " * 3
+    for tag in ('<p class=x">', "<p data-x=it's>", '<p title="a > b">', "<p title='a \"> b'>", "<p a=b\"c d='e'>", '<p x = "y">'):
+        got = html.main_text(f"<html><body><article>{tag}{say}</p><p>We don't know this.</p></article></body></html>")
+        assert got == " ".join(say.split()) + " We don't know this."
+    got = html.main_text(f"<body><article><p>{say} It holds that <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is so. {say}</p></article></body>")
+    assert "a+b is so." in got
+
+
+def test_extra_columns_of_branches(spark):
+    rows = [(1, 1, None, 1.0, 7, 8), (1, 2, 1, 2.0, 7, 8)]
+    out = chat.branches(spark.createDataFrame(rows, "tree long, node long, parent long, score double, t_ int, n_ int"))
+    assert {(r.leaf, r.depth, r.node) for r in out.collect()} == {(2, 0, 2), (2, 1, 1)}

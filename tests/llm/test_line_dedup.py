@@ -64,3 +64,31 @@ def test_clean_documents_are_left_alone(spark):
     assert all(out[i] == t for i, t in rows[:20])
     assert out[101].endswith(passage) and out[102] == "other end of it"
     assert out[100] == rows[0][1].split("\n")[-1] + "x"
+
+
+def test_registered_query(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, "\n".join(rng.choice(["one two three", "a b", "four five six seven", "z"]) for _ in range(rng.randint(1, 6)))) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute(rows, line_dedup.MIN_WORDS)
+    for r in line_dedup.op2_line_dedup(spark, str(tmp_path)).collect():
+        text = dict(rows)[r.doc_id]
+        runs = [tuple(map(int, x.split("-"))) for x in r.runs.split(",") if x]
+        assert {x for a, b in runs for x in range(a, b)} == want[r.doc_id, text] and r.n_deleted == len(want[r.doc_id, text])
+        assert r.n_lines == len(text.split("\n")) and all(a[1] < b[0] for a, b in zip(runs, runs[1:]))
+
+
+def test_lines_that_share_an_id_are_told_apart(spark):
+    row = lambda k, ln, h, h2: (k, 0, 9, ln, h, h2)
+    rows = [row(1, 0, 5, 50), row(2, 0, 5, 51), row(3, 0, 5, 50), row(1, 1, 6, 60), row(2, 1, 6, 60), row(3, 1, 7, 70)]
+    own, met = line_dedup.distinct_ids(spark.createDataFrame(rows, "k long, d long, z int, ln int, h long, h2 long"))
+    ids = {(r.k, r.ln): r.h for r in own.collect()}
+    assert ids[1, 0] == ids[3, 0] != ids[2, 0] and ids[1, 1] == ids[2, 1] == 6 and ids[3, 1] == 7
+    assert {(r.h_, r.c, r.f.k) for r in met.collect()} == {(ids[1, 0], 2, 1), (6, 2, 1)}
+
+
+def test_very_long_texts(long_docs):
+    texts = {r.doc_id: r.text for r in long_docs.collect()}
+    out = {r.doc_id: r.text for r in line_dedup.dedup(long_docs).collect()}
+    assert out[1] == texts[1] and out[3] == texts[3]
+    assert out[2] == texts[2].split("\n")[-1] and 4 not in out or len(out[4].split("\n")) == 1

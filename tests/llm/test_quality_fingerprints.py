@@ -50,7 +50,59 @@ def sketch(spark, text):
     return set(spark.createDataFrame([(text,)], "t string").select(fingerprints.sketch(F.col("t"))).first()[0])
 
 
-def test_fingerprints(docs, no_docs, monkeypatch):
+def by_hand(text, hashed):
+    words = [hashed(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text.lower())]
+    shingles = [words[i : i + 5] for i in range(len(words) - 4)] if len(words) >= 5 else [words] if words else []
+    return {h for h in (hashed(*s) for s in shingles) if h < -(2**63) + 2**64 // fingerprints.SCALE}
+
+
+def hexed(hashes):
+    return "".join(f"{h % 2**64:016x}" for h in sorted(hashes))
+
+
+def jaccard(a, b, same):
+    return len(a & b) / len(a | b) if a | b else float(same)
+
+
+def test_hot_id_is_cut_by_its_ties(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", 8)
+    rows = [(i, f"t{i} a b c d e") for i in range(30)] + [(50, f"of one id {i}") for i in range(60)] + [(50, "same")] * 20
+    df = spark.createDataFrame(rows, "k long, t string").selectExpr("k", "t", "xxhash64(t) AS tie")
+    seen = []
+    out = fingerprints.with_next(df, "k", "tie", ["t"], lambda x: seen.append(x.groupBy("block_").count().collect()) or x).collect()
+    order = sorted((r.k, r.tie, r.t) for r in df.collect())
+    assert sorted((r.k, r.tie, r.t, r.next_t) for r in out) == sorted((*a, b[2]) for a, b in zip(order, order[1:] + order[:1]))
+    assert max(r["count"] for r in seen[0]) < 50
+
+
+def test_contained_texts_are_found(spark):
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(2 * i, " ".join(words[9 * i : 9 * i + 9])) for i in range(200)] + [(2 * i + 1, " ".join(words)) for i in range(200)]
+    out = fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id % 2 = 0").collect()
+    assert all(r.within_next == (1.0 if r.fingerprint else None) for r in out)
+    assert sum(r.within_next == 1.0 for r in out) > 60
+
+
+def test_sketches_merge(spark):
+    from pyspark.sql import functions as F
+
+    words = [f"w{i}" for i in range(400)]
+    parts = [" ".join(words[:204]), " ".join(words[200:])]
+    row = spark.createDataFrame([(*parts, " ".join(words))], "a string, b string, c string")
+    got = row.select(fingerprints.merged(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b"))), fingerprints.sketch(F.col("c"))).first()
+    assert got[0] == got[1] and len(got[0]) > 20
+
+
+def test_very_long_texts(long_docs, hashed):
+    out = {r.doc_id: r for r in fingerprints.fingerprint(long_docs).collect()}
+    texts = {r.doc_id: r.text for r in long_docs.collect()}
+    assert all(out[i].fingerprint == hexed(by_hand(t, hashed)) for i, t in texts.items())
+    got = {r.doc_id: r for r in quality.score(long_docs).collect()}
+    for i, t in texts.items():
+        assert (got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].n_repeat_words) == measures(t)
+
+
+def test_fingerprints(docs, no_docs, monkeypatch, hashed):
     monkeypatch.setattr(fingerprints, "BLOCK_ROWS", 4)
     rows = sorted(((r.doc_id, r.text or "") for r in docs.dropDuplicates(["doc_id", "text"]).collect() if r.doc_id is not None and r.doc_id != 15))
     clean = docs.where("doc_id IS NOT NULL AND doc_id != 15").dropDuplicates(["doc_id", "text"])
@@ -60,12 +112,12 @@ def test_fingerprints(docs, no_docs, monkeypatch):
         half = len(t) // 2
         edited = t[: len(t) - half] + nxt[:half]
         assert out[i].n_chars == len(t) and out[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        if t == "":
-            assert out[i].fingerprint == ""
-        if edited == t:
-            assert out[i].near_edited == 1.0
-        assert 0 <= out[i].near_next <= 1
-    assert out[rows[5][0] + 0].fingerprint  # a text has one
+        a, e, b = (by_hand(x, hashed) for x in (t, edited, nxt))
+        assert out[i].fingerprint == hexed(a) and out[i].edited_fingerprint == hexed(e)
+        assert out[i].near_edited == pytest.approx(jaccard(a, e, t == edited)) and out[i].near_next == pytest.approx(jaccard(a, b, t == nxt))
+        assert out[i].within_next == (pytest.approx(len(a & b) / len(a)) if a else None)
+        assert out[i].within_edited == (pytest.approx(len(a & e) / len(a)) if a else None)
+    assert sum(r.fingerprint != "" for r in out.values()) > 5
     assert fingerprints.fingerprint(docs).count() == docs.count()
     assert fingerprints.fingerprint(no_docs).count() == 0
     assert fingerprints.fingerprint(clean.where("doc_id = 18")).count() == 1
