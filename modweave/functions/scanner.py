@@ -495,7 +495,7 @@ def scan_imports(files: DataFrame, detailed: bool = True, ignore_types: bool = F
 # --- comments and templates ----------------------------------------------------------------------------------------
 
 _CODE = re.compile(r"//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/)?|'(?:\\.|[^\\'\n])*'?|\"(?:\\.|[^\\\"\n])*\"?|`(?:\\.|[^\\`])*`?", re.S)
-_TAGGED = re.compile(r"([A-Za-z0-9_$)\]>])`(?:\\.|[^\\`])*`", re.S)
+_TEMPLATE = re.compile(r"([\w$.]+)?`(?:\\.|[^\\`])*`?", re.S | re.A)
 
 
 def strip_comments(code: str) -> str:
@@ -504,5 +504,20 @@ def strip_comments(code: str) -> str:
 
 
 def strip_templates(code: str) -> str:
-    """Without comments and the bodies of tagged templates; their tags stay."""
-    return _TAGGED.sub(r"\1", strip_comments(code))
+    """Without comments and tagged templates; their tags stay.
+
+    A tag is a name right before the template that no other name goes before: ``return f`` isn't one.
+    """
+    code = strip_comments(code)
+
+    def kept(m: re.Match) -> str:
+        before = code[: m.start()].rstrip(" \t\n\r")[-1:] if m[1] else "x"
+        return m[0] if before and re.match(r"[\w$]", before, re.A) else m[1]
+
+    return _TEMPLATE.sub(kept, code)
+
+
+def line_counts(content: bytes) -> tuple[int, int, int]:
+    """Lines as they are, without comments, and without tagged templates too; of two line ends in a row one counts."""
+    text = content.decode("latin-1")
+    return tuple(t.replace("\n\n", "\n").count("\n") for t in (text, strip_comments(text), strip_templates(text)))

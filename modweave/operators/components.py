@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,14 +11,22 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one is set only where the session has none."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, one of this machine's in local mode, else an error."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         there = spark.conf.get("spark.checkpoint.dir", None)
+        if not there and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(there or os.path.join(tempfile.gettempdir(), "modweave-checkpoint"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of this engine's own making, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the folder that all executors share, so that a lost executor costs no rerun."""
     shared_folder(df.sparkSession)

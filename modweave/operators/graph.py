@@ -3,8 +3,8 @@
 ``dst`` is '' where an edge has no file. Results whose order doesn't matter (reachable sets, pairs, components) are
 exact relations; those that follow a depth-first order are marked ``compat``.
 
-Three ways to close a graph, chosen by counted size: one worker's adjacency lists while the whole edge set fits
-(``LOCAL_EDGES``), one worker per weakly connected component while each fits, and joins round by round for the rest.
+Three ways to close a graph, chosen by counted size: one edge list while it fits a worker (``LOCAL_EDGES``), with
+the roots split over tasks, one per weakly connected component while each fits, and joins round by round for the rest.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ from modweave.operators.components import components, cut
 
 #: Edges that one worker's adjacency lists may hold: some hundred bytes each.
 LOCAL_EDGES = 500_000
+#: Roots times edges of one task, hence an upper bound of the pairs it makes, and the copies of one edge list that are
+#: still cheaper than finding the graph's components.
+LOCAL_PAIRS, COPIES = 2_000_000, 8
 
 
 def followed(edges: DataFrame, ignore_types: bool = False) -> DataFrame:
@@ -57,19 +60,19 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return seen
 
 
-def reach_pairs(edges: DataFrame, roots: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """``entry, path`` for each root and each node it reaches, itself included. Bound the roots: the result is pairs."""
+def reach_pairs(edges: DataFrame, roots: DataFrame, local_edges: int = LOCAL_EDGES, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
+    """``entry, path`` for each root and each node it reaches, itself included. Bound the roots: the result is pairs.
+
+    The roots of a group (all, or one component) are split over tasks that get the group's edges each, so that
+    roots times edges of a task stay below ``local_pairs``.
+    """
     roots = roots.select(F.col("path").alias("path")).distinct()
     pairs = cut(edges.select("src", "dst").distinct())
-    if pairs.count() <= local_edges:
-        return _grouped(pairs.withColumn("g", F.lit(0)), roots.withColumn("g", F.lit(0)), _reach_pairs, "entry string, path string")
-    part = components(pairs).withColumnRenamed("node", "n_")
-    labelled = pairs.join(part, F.col("src") == F.col("n_"), "left").select("src", "dst", F.coalesce("component", "src").alias("g"))
-    size = labelled.groupBy("g").agg(F.count(F.lit(1)).alias("edges_"))
-    giant = cut(size.where(F.col("edges_") > local_edges).select("g"))
-    labelled = cut(labelled)
-    of = roots.join(part, F.col("path") == F.col("n_"), "left").select("path", F.coalesce("component", "path").alias("g"))
-    fits = _grouped(labelled.join(giant, "g", "left_anti"), of.join(giant, "g", "left_anti"), _reach_pairs, "entry string, path string")
+    n = pairs.count()
+    if n <= local_edges and roots.count() * n <= COPIES * local_pairs:
+        return _split(pairs.withColumn("g", F.lit("")), roots.withColumn("g", F.lit("")), _reach_pairs, "entry string, path string", local_pairs)
+    labelled, of, giant = labelled_parts(pairs, roots, local_edges)
+    fits = _split(labelled.join(giant, "g", "left_anti"), of.join(giant, "g", "left_anti"), _reach_pairs, "entry string, path string", local_pairs)
     if giant.isEmpty():
         return fits
     big = labelled.join(giant, "g", "left_semi")
@@ -81,6 +84,27 @@ def reach_pairs(edges: DataFrame, roots: DataFrame, local_edges: int = LOCAL_EDG
     return fits.union(seen)
 
 
+def labelled_parts(pairs: DataFrame, nodes: DataFrame, local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``pairs`` and ``nodes(path)`` with the label ``g`` of their weakly connected component, and the labels of those with too many edges."""
+    part = cut(components(pairs)).withColumnRenamed("node", "n_")
+    labelled = pairs.join(part, F.col("src") == F.col("n_"), "left").withColumn("g", F.coalesce("component", "src")).drop("n_", "component")
+    of = nodes.join(part, F.col("path") == F.col("n_"), "left").withColumn("g", F.coalesce("component", "path")).drop("n_", "component")
+    labelled = cut(labelled)
+    giant = cut(labelled.groupBy("g").agg(F.count(F.lit(1)).alias("edges_")).where(F.col("edges_") > local_edges).select("g"))
+    return labelled, of, giant
+
+
+def _split(edges: DataFrame, roots: DataFrame, fn, schema: str, local_pairs: int) -> DataFrame:
+    """``fn`` of each group's edges with a share of its ``roots(g, path)``; as many shares as roots times edges ask for."""
+    e = edges.groupBy("g").agg(F.count(F.lit(1)).alias("edges_"))
+    r = roots.groupBy("g").agg(F.count(F.lit(1)).alias("roots_"))
+    shares = F.greatest(F.ceil(F.col("roots_") * F.coalesce("edges_", F.lit(0)) / local_pairs), F.lit(1)).cast("int")
+    k = cut(r.join(e, "g", "left").select("g", shares.alias("k_")))
+    edges = edges.join(k, "g").withColumn("share_", F.explode(F.sequence(F.lit(0), F.col("k_") - 1))).drop("k_")
+    roots = roots.join(k, "g").withColumn("share_", F.pmod(F.xxhash64("path"), F.col("k_")).cast("int")).drop("k_")
+    return edges.groupBy("g", "share_").cogroup(roots.groupBy("g", "share_")).applyInPandas(fn, schema)
+
+
 def doubled_pairs(edges: DataFrame) -> DataFrame:
     """``src, dst`` of the whole closure by path doubling: as many rounds as the logarithm of the longest path.
 
@@ -161,9 +185,12 @@ def attribute_least(edges: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def _by_component(edges: DataFrame, extra: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges and nodes with a group label: one group while all fits one worker, else weakly connected components."""
+    """Edges and nodes with a group label: one group while all fits one worker, else weakly connected components.
+
+    A depth-first order can't be split, so here a component is one task whatever its size.
+    """
     e = cut(edges.select("src", "seq", "dst"))
-    if e.count() <= LOCAL_EDGES:
+    if e.count() + extra.count() <= LOCAL_EDGES:
         return e.withColumn("g", F.lit("")), extra.withColumn("g", F.lit(""))
     part = cut(components(e)).withColumnRenamed("node", "n_")
     label = lambda df, c: df.join(part, F.col(c) == F.col("n_"), "left").withColumn("g", F.coalesce("component", c)).drop("n_", "component")
@@ -207,11 +234,11 @@ def attribute_first(edges: DataFrame, roots: DataFrame, ignore_types: bool = Fal
     return _grouped(e, r, chains, "path string, entry string, importer string")
 
 
-def paths(edges: DataFrame, roots: DataFrame, target: str, all_paths: bool = False, ignore_types: bool = False) -> DataFrame:
+def paths(edges: DataFrame, roots: DataFrame, target: str, all_paths: bool = False, ignore_types: bool = False, most: int = 1000) -> DataFrame:
     """``entry, path_no, path, truncated`` (compat): resolution paths from each root to a file or module.
 
     Each root is built by itself, in the group of its weakly connected component. For a module the target is the
-    first file met that imports it.
+    first file met that imports it. Beyond ``most`` paths of a root the search ends and ``truncated`` says so.
     """
     front = module_frontier(edges, target).select("path", F.lit(True).alias("hit"))
     asked = roots.select("path", F.lit(True).alias("root")).unionByName(front.select("path", F.lit(False).alias("root")))
@@ -222,7 +249,7 @@ def paths(edges: DataFrame, roots: DataFrame, target: str, all_paths: bool = Fal
         for root in sorted(set(a.loc[a["root"], "path"])):
             got = kernels.dfs_parents(adj, [root])
             end = target if target in got else next((p for p in _preorder(adj, root) if p in hits), None)
-            for i, path in enumerate((r := kernels.resolution_paths(got, end, all_paths) if end else ([], False))[0]):
+            for i, path in enumerate((r := kernels.resolution_paths(got, end, all_paths, most) if end else ([], False))[0]):
                 rows.append((root, i, path, r[1]))
         return pd.DataFrame(rows, columns=["entry", "path_no", "path", "truncated"]).astype({"path": object})
 
@@ -276,36 +303,89 @@ def cycles_dfs(nodes: DataFrame, edges: DataFrame, ignore_types: bool = False) -
     return _grouped(e, n, walk, "cycle array<string>")
 
 
-def scc(nodes: DataFrame, edges: DataFrame, ignore_types: bool = False) -> DataFrame:
+def scc(nodes: DataFrame, edges: DataFrame, ignore_types: bool = False, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``path, component, size``: strongly connected components by their least file.
 
     A node without in-edges or without out-edges from others is alone, so those are peeled off first, round by
-    round in joins while more than one worker's edges are left; what remains goes component by component.
+    round in joins while more than one worker's edges are left. What remains goes component by component, and by
+    colours in joins where a component has more than ``local_edges``.
     """
-    n = nodes.select("path").distinct()
+    n = cut(nodes.select("path").distinct())
     e = _cyclic(edges, ignore_types).select("src", "dst").distinct()
     inside = n.select(F.col("path").alias("p_"))
     e = e.join(inside, F.col("src") == F.col("p_"), "left_semi").join(inside, F.col("dst") == F.col("p_"), "left_semi")
-    e = cut(e)
-    while e.count() > LOCAL_EDGES:
+    e = cut(e.where("src != dst"))
+    if e.count() + n.count() <= local_edges:
+        found = _grouped(e.withColumn("g", F.lit("")), n.withColumn("g", F.lit("")), _strong, "path string, component string")
+    else:
+        e = _peeled(e, local_edges)
+        ends = cut(e.select(F.col("src").alias("path")).union(e.select("dst")).distinct())
+        labelled, of, giant = labelled_parts(e, ends, local_edges)
+        found = _grouped(labelled.join(giant, "g", "left_anti"), of.join(giant, "g", "left_anti"), _strong, "path string, component string")
+        if not giant.isEmpty():
+            found = found.union(_coloured(labelled.join(giant, "g", "left_semi").select("src", "dst"), local_edges))
+        found = cut(found)
+        found = found.union(n.join(found.select("path"), "path", "left_anti").select("path", F.col("path").alias("component")))
+    found = cut(found)
+    return found.join(found.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select("path", "component", "size")
+
+
+def _strong(e: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
+    adj = kernels.adjacency(zip(e["src"], e["dst"]))
+    return pd.DataFrame([(p, c[0]) for c in kernels.strong_components(adj, sorted(n["path"])) for p in c], columns=["path", "component"], dtype=object)
+
+
+def _peeled(e: DataFrame, enough: int) -> DataFrame:
+    """Edges left when those of files without in-edges or out-edges are taken away, again and again while more than ``enough``."""
+    n = e.count()
+    while n > enough:
         kept = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        kept = cut(kept.select("src", "dst"))
-        if kept.count() == e.count():
+        e = cut(kept.select("src", "dst"))
+        if (m := e.count()) == n:
             break
-        e = kept
-
-    def walk(e: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
-        adj = kernels.adjacency(zip(e["src"], e["dst"]))
-        rows = [(p, c[0], len(c)) for c in kernels.strong_components(adj, sorted(n["path"])) for p in c]
-        return pd.DataFrame(rows, columns=["path", "component", "size"])
+        n = m
+    return e
 
-    e, n = _by_component(e.withColumn("seq", F.lit(0)), n)
-    return _grouped(e, n, walk, "path string, component string, size long")
 
+def _coloured(e: DataFrame, enough: int) -> DataFrame:
+    """``path, component`` of the strongly connected components of two files or more, in joins alone.
 
-def cycles_scc(nodes: DataFrame, edges: DataFrame, ignore_types: bool = False) -> DataFrame:
-    """``cycle``: one for each strongly connected component or self-loop, from its least file in name order."""
-    parts = scc(nodes, edges, ignore_types).select("path", F.col("component").alias("g"))
+    Each file takes the least name that reaches it as its colour. Files of one colour that reach the file so named
+    are its component, of which it is the least. Edges within a colour that touch no component go on to a next turn.
+    """
+    done = None
+    e = cut(e)
+    while not e.isEmpty():
+        ends = e.select(F.col("src").alias("path")).union(e.select("dst")).distinct()
+        colour = cut(ends.select("path", F.col("path").alias("colour")))
+        moved = colour
+        while not moved.isEmpty():
+            offer = moved.join(e, F.col("path") == F.col("src")).groupBy("dst").agg(F.min("colour").alias("offer"))
+            new = colour.join(offer, F.col("path") == F.col("dst"), "left").select("path", F.least("colour", "offer").alias("colour"), (F.col("offer") < F.col("colour")).alias("moved"))
+            new = cut(new)
+            moved, colour = new.where("moved").select("path", "colour"), new.select("path", "colour")
+        a = colour.select(F.col("path").alias("src"), F.col("colour").alias("a_"))
+        b = colour.select(F.col("path").alias("dst"), F.col("colour").alias("b_"))
+        same = cut(e.join(a, "src").join(b, "dst").where("a_ = b_").select("src", "dst", F.col("a_").alias("colour")))
+        seen = frontier = cut(colour.where("path = colour"))
+        while not frontier.isEmpty():
+            step = same.select("src", "dst").join(frontier, F.col("dst") == F.col("path")).select(F.col("src").alias("path"), "colour").distinct()
+            frontier = cut(step.join(seen.select("path"), "path", "left_anti"))
+            seen = cut(seen.union(frontier))
+        found = seen.select("path", F.col("colour").alias("component"))
+        done = found if done is None else cut(done.union(found))
+        gone = seen.select("path")
+        left = same.join(gone.withColumnRenamed("path", "src"), "src", "left_anti").join(gone.withColumnRenamed("path", "dst"), "dst", "left_anti")
+        e = _peeled(cut(left.select("src", "dst")), enough)
+    return done
+
+
+def cycles_scc(nodes: DataFrame, edges: DataFrame, ignore_types: bool = False, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """``cycle``: one for each strongly connected component or self-loop, from its least file in name order.
+
+    The search for it goes file by file, so a component's inner edges are one task.
+    """
+    parts = cut(scc(nodes, edges, ignore_types, local_edges).select("path", F.col("component").alias("g")))
     e = _cyclic(edges, ignore_types).select("src", "dst").distinct()
     a, b = parts.select(F.col("path").alias("src"), F.col("g")), parts.select(F.col("path").alias("dst"), F.col("g").alias("h"))
     inner = e.join(a, "src").join(b, "dst").where("g = h").select("g", "src", "dst")

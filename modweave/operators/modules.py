@@ -116,14 +116,15 @@ def duplicates(installed: DataFrame) -> DataFrame:
 
 
 def dedupe_plan(installed: DataFrame, isolate: bool = False) -> DataFrame:
-    """``keep, link, saved``: links to make from later copies of leaf packages to the one kept; nothing is changed on disk.
+    """``keep, link, saved``: links to make from later copies to the first one; nothing is changed on disk.
 
-    ``installed(name, version, path, size, leaf, top)``. ``isolate``: only within one top-level ``node_modules``.
+    ``installed(name, version, path, size, leaf, top)``. Only leaf packages are linked, and nothing where the first
+    copy is none. ``isolate``: only within one top-level ``node_modules``.
     """
     keys = ["name", "version", "top"] if isolate else ["name", "version"]
-    leaf = installed.where("leaf").withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*nesting_order())))
-    keep = leaf.where("place = 1").select(*keys, F.col("path").alias("keep"))
-    return leaf.where("place > 1").join(keep, keys).select("keep", F.col("path").alias("link"), F.col("size").alias("saved"))
+    placed = installed.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*nesting_order()))).where("leaf")
+    keep = placed.where("place = 1").select(*keys, F.col("path").alias("keep"))
+    return placed.where("place > 1").join(keep, keys).select("keep", F.col("path").alias("link"), F.col("size").alias("saved"))
 
 
 def dir_sizes(files: DataFrame) -> DataFrame:
@@ -151,24 +152,36 @@ def total_sizes(installed: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.join(installed.select("path", "size"), "path").groupBy(F.col("entry").alias("path")).agg(F.sum("size").alias("total"))
 
 
-def size_report(installed: DataFrame, links: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+def size_report(installed: DataFrame, links: DataFrame, candidates: DataFrame | None = None, local_edges: int = graph.LOCAL_EDGES, local_pairs: int = graph.LOCAL_PAIRS) -> DataFrame:
     """``name, version, path, own, exclusive, shared, total``, largest own + exclusive first.
 
     ``exclusive``: what else would go with the package if the roots (``src`` '') no longer named it, found by a
-    cascade on in-degrees. ``shared`` is the rest of the total.
+    cascade on in-degrees. ``shared`` is the rest of the total. Packages that no link ties, however far round, don't
+    touch each other's numbers, so beyond ``local_edges`` each connected part is by itself; a part's packages are
+    split over tasks so that packages times links of a task stay below ``local_pairs``. A part is one edge list.
     """
-    wanted = (candidates if candidates is not None else installed).select("path").distinct().withColumn("g", F.lit(0))
-    rows = installed.select("path", F.col("size").alias("size")).withColumn("g", F.lit(0))
-    tagged = links.select("src", "dst", F.lit(0).cast("long").alias("size"), F.lit("e").alias("t")).unionByName(rows.select(F.lit("").alias("src"), F.col("path").alias("dst"), "size", F.lit("n").alias("t"))).withColumn("g", F.lit(0))
+    wanted = (candidates if candidates is not None else installed).select("path").distinct()
+    ties = graph.cut(links.select("src", "dst"))
+    inner = ties.where("src != ''")
+    named = ties.where("src = ''").select(F.col("dst").alias("path"))
+    sizes = installed.select("path", "size")
+    if ties.count() <= local_edges:
+        group = lambda df: df.withColumn("g", F.lit(""))
+        inner, named, sizes, wanted = map(group, (inner, named, sizes, wanted))
+    else:
+        asked = named.withColumn("k", F.lit("r")).unionByName(wanted.withColumn("k", F.lit("w"))).withColumn("size", F.lit(None).cast("long"))
+        inner, of, _ = graph.labelled_parts(inner, asked.unionByName(sizes.withColumn("k", F.lit("n"))), local_edges)
+        of = graph.cut(of)
+        named, wanted, sizes = (of.where(F.col("k") == k).select("path", "g", *(["size"] if k == "n" else [])) for k in "rwn")
+    no = F.lit(0).cast("long")
+    tagged = inner.select("g", "src", "dst", no.alias("size"), F.lit("e").alias("t"))
+    tagged = tagged.unionByName(named.select("g", F.lit("").alias("src"), F.col("path").alias("dst"), no.alias("size"), F.lit("r").alias("t")))
+    tagged = tagged.unionByName(sizes.select("g", F.lit("").alias("src"), F.col("path").alias("dst"), F.col("size").cast("long").alias("size"), F.lit("n").alias("t")))
 
     def cascade(e: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
         size = dict(e.loc[e["t"] == "n", ["dst", "size"]].itertuples(index=False))
-        ties = [(a, b) for a, b in e.loc[e["t"] == "e", ["src", "dst"]].itertuples(index=False)]
-        roots: dict[str, int] = {}
-        for a, b in ties:
-            if a == "":
-                roots[b] = roots.get(b, 0) + 1
-        adj = kernels.adjacency((a, b) for a, b in ties if a != "")
+        adj = kernels.adjacency(e.loc[e["t"] == "e", ["src", "dst"]].itertuples(index=False))
+        roots = e.loc[e["t"] == "r", "dst"].value_counts().to_dict()
         refs, out = kernels.references(adj, roots), []
         for c in w["path"]:
             total = sum(size.get(x, 0) for x in kernels.reached(adj, c))
@@ -177,22 +190,31 @@ def size_report(installed: DataFrame, links: DataFrame, candidates: DataFrame |
             out.append((c, own, gone, total - own - gone, total))
         return pd.DataFrame(out, columns=["path", "own", "exclusive", "shared", "total"])
 
-    made = tagged.groupBy("g").cogroup(wanted.groupBy("g")).applyInPandas(cascade, "path string, own long, exclusive long, shared long, total long")
+    made = graph._split(tagged, wanted.select("path", "g"), cascade, "path string, own long, exclusive long, shared long, total long", local_pairs)
     out = installed.select("name", "version", "path").join(made, "path").select("name", "version", "path", "own", "exclusive", "shared", "total")
     return out.orderBy((F.col("own") + F.col("exclusive")).desc(), "name", F.col("version").desc(), F.col("total").desc())
 
 
-DOC_PATTERNS = ["**/*.md", "**/*.markdown", "**/CHANGELOG*", "**/README*", "**/docs/**", "**/*.map"]
+#: What documentation is unless patterns are given: at the top of a package.
+DOC_PATTERNS = ["LICENSE", "README.md", "docs/**"]
+
+
+def merged_patterns(*lists: list[str] | None) -> list[str]:
+    """All patterns once, in the order in which they come first; the defaults if there are none."""
+    return list(dict.fromkeys(p.strip() for x in lists for p in x or [] if p.strip())) or list(DOC_PATTERNS)
 
 
 def prune_plan(files: DataFrame, patterns: list[str] | None = None) -> DataFrame:
     """``path, size``: documentation files of installed packages that may go; ``files(package, path, size)``."""
     rel = F.substr("path", F.length("package") + 2)
-    return files.where(glob_col(rel, patterns or DOC_PATTERNS)).select("path", "size")
+    return files.where(glob_col(rel, merged_patterns(patterns))).select("path", "size")
 
 
 def first_issues(issues: DataFrame, by: list[str], n: int = 5) -> DataFrame:
-    """The first ``n`` issues of each detector and how many remain."""
-    each = Window.partitionBy("check")
-    out = issues.withColumn("place", F.row_number().over(each.orderBy(*by))).withColumn("remaining", F.greatest(F.count(F.lit(1)).over(each) - n, F.lit(0)))
-    return out.where(F.col("place") <= n)
+    """The first ``n`` issues of each detector and how many remain.
+
+    Counts are pre-aggregated and ranks limited before the shuffle, so a detector with most issues is no hot group.
+    """
+    counts = issues.groupBy("check").agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("remaining"))
+    first = issues.withColumn("place", F.row_number().over(Window.partitionBy("check").orderBy(*by))).where(F.col("place") <= n)
+    return first.join(counts, "check")

@@ -107,14 +107,20 @@ def rules(spark: SparkSession, mapping: dict[str, str | list[str]]) -> DataFrame
 def apply_rules(asked: DataFrame, table: DataFrame) -> DataFrame:
     """``asked`` with ``matched`` and ``module_path``: what the first rule that fits a request makes of it.
 
-    The rules of a configuration are a small literal table; distinct requests meet them on a prefix.
+    Distinct requests meet exact keys by equality, and wildcard keys by the beginnings that have the length of some
+    key's prefix, so both joins are on equality however many rules there are. To the driver come those lengths.
     """
     r = F.col("request")
     one = asked.select("request").distinct()
+    exact = one.join(table.where("not wild").select(F.col("key").alias("request"), F.col("target").alias("to"), "priority"), "request")
+    wild = table.where("wild")
+    lengths = sorted(x["n"] for x in wild.select(F.length("prefix").alias("n")).distinct().collect())
+    begins = F.array(*[F.when(F.length(r) >= n, F.substr(r, F.lit(1), F.lit(n))) for n in lengths]) if lengths else F.array().cast("array<string>")
+    hit = one.select("request", F.explode(begins).alias("prefix")).where("prefix is not null").join(wild, "prefix")
+    hit = hit.where(r.endswith(F.col("suffix")) & (F.length(r) >= F.length("prefix") + F.length("suffix")))
     value = F.substr(r, F.length("prefix") + 1, F.length(r) - F.length("prefix") - F.length("suffix"))
-    fits = (~F.col("wild") & (r == F.col("key"))) | (F.col("wild") & r.startswith(F.col("prefix")) & r.endswith(F.col("suffix")) & (F.length(r) >= F.length("prefix") + F.length("suffix")))
-    hit = one.join(F.broadcast(table), fits).withColumn("to", wildcard_fill(F.col("target"), value))
-    best = hit.groupBy("request").agg(F.min_by("to", "priority").alias("module_path"))
+    hit = hit.select("request", wildcard_fill(F.col("target"), value).alias("to"), "priority")
+    best = exact.unionByName(hit).groupBy("request").agg(F.min_by("to", "priority").alias("module_path"))
     return asked.join(best, "request", "left").withColumn("matched", F.col("module_path").isNotNull())
 
 

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modweave.functions.globs import glob_col
-from modweave.functions.scalars import entry_class, loc
+from modweave.functions.scalars import entry_class, percent, thousands
+from modweave.functions.scanner import line_counts
 from modweave.operators import detectors, graph, lint, modules
 from modweave.operators.resolve import expand_entries
+from modweave.plans.run import other_uses
 from modweave.sources import manifests
 from modweave.sources.tree import Graph, Options, build_graph
 from modweave.sources.walk import discover
@@ -29,7 +33,7 @@ def resolve(spark: SparkSession, root: str | Graph, target: str, entries: list[s
     g = _graph(spark, root, **options)
     file = os.path.normpath(os.path.join(g.root, target))
     known = not g.nodes.where(F.col("path") == file).isEmpty()
-    return graph.paths(g.edges, _entries(g, entries), file if known else target, all_paths, g is not root and bool(options.get("ignore_types")))
+    return graph.paths(g.edges, _entries(g, entries), file if known else target, all_paths, bool(options.get("ignore_types")))
 
 
 def entry_points(spark: SparkSession, root: str | Graph, exclude: list[str] | None = None, include: list[str] | None = None, counts: bool = False, **options) -> DataFrame:
@@ -61,25 +65,64 @@ def unresolved(spark: SparkSession, root: str | Graph, ignore: dict | None = Non
 
 
 def lines_of_code(spark: SparkSession, root: str | Graph, **options) -> DataFrame:
-    """``path, loc``; sum for a total."""
-    g = _graph(spark, root, **options)
-    return g.files.select("path", loc(F.decode("content", "UTF-8")).alias("loc"))
+    """``path, loc, without_comments, without_templates`` of each file; ``line_totals`` sums them up."""
+    files = root.files if isinstance(root, Graph) else discover(spark, root)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [line_counts(c) for c in b.column("content").to_pylist()]
+            cols = list(zip(*rows)) if rows else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([b.column("path"), *(pa.array(c, pa.int64()) for c in cols)], ["path", "loc", "without_comments", "without_templates"])
+
+    return files.select("path", "content").mapInArrow(counted, "path string, loc long, without_comments long, without_templates long")
+
+
+def line_totals(counts: DataFrame) -> DataFrame:
+    """``metric, lines, percentage``: the three totals with their share of all lines, as they are printed."""
+    names = {"loc": "Total lines", "without_comments": "Without comments", "without_templates": "Without comments and template strings"}
+    sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    rows = F.array(*[F.struct(F.lit(text).alias("metric"), thousands(F.col(c)).alias("lines"), percent(F.col(c), F.col("loc")).alias("percentage")) for c, text in names.items()])
+    return sums.select(F.inline(rows))
 
 
 def list_files(spark: SparkSession, root: str, exclude: list[str] | None = None, include: list[str] | None = None) -> DataFrame:
     return discover(spark, root, exclude, include).select("path")
 
 
-def used_modules(spark: SparkSession, root: str | Graph, entries: list[str] | None = None, **options) -> DataFrame:
-    """``module, path``; by entry point if entries are given: ``entry, module``."""
-    g = _graph(spark, root, **options)
-    used = modules.used_modules(g.edges)
-    return modules.modules_by_entry(g.edges, used, _entries(g, entries)) if entries is not None else used
+def _used(g: Graph, fields: list[str] | None, binaries: list[str] | None, mentions: list[str] | None) -> DataFrame:
+    named = {"pkgJsonFieldsWithBinaries": fields, "filesWithBinaries": binaries, "filesWithModules": mentions}
+    return modules.used_modules(g.edges, extra=other_uses(g, g.rules.packages[g.root], named))
+
 
+def used_modules(
+    spark: SparkSession, root: str | Graph, entries: list[str] | None = None, group_by: str = "", fields: list[str] | None = None,
+    binaries: list[str] | None = None, mentions: list[str] | None = None, **options,
+) -> DataFrame:
+    """``module, path``: packages that imports, scripts and settings use, or the manifest ``fields`` and files named.
 
-def unused_modules(spark: SparkSession, root: str | Graph, include: list[str] | None = None, exclude: list[str] | None = None, **options) -> DataFrame:
+    ``entries``: what these reach, as ``entry, module``. ``group_by``: ``module`` (with paths), ``file`` (with modules),
+    ``module-files`` (counts), ``entry`` (with modules) or ``module-entries``.
+    """
+    g = _graph(spark, root, **options)
+    used = _used(g, fields, binaries, mentions)
+    by_entry = lambda: modules.modules_by_entry(g.edges, used, _entries(g, entries))
+    if group_by:
+        makers = {
+            "module": lambda: modules.by_module(used), "file": lambda: modules.by_file(used), "module-files": lambda: modules.files_per_module(used),
+            "entry": lambda: by_entry().groupBy("entry").agg(F.array_sort(F.collect_set("module")).alias("modules")),
+            "module-entries": lambda: by_entry().groupBy("module").agg(F.array_sort(F.collect_set("entry")).alias("entries")),
+        }
+        return makers[group_by]()
+    return by_entry() if entries is not None else used
+
+
+def unused_modules(
+    spark: SparkSession, root: str | Graph, include: list[str] | None = None, exclude: list[str] | None = None, fields: list[str] | None = None,
+    binaries: list[str] | None = None, mentions: list[str] | None = None, **options,
+) -> DataFrame:
+    """``module``: declared packages that neither imports nor scripts, settings or the files named use."""
     g = _graph(spark, root, **options)
-    return modules.unused_modules(g.declared.where(F.col("root") == g.root).select("module"), modules.used_modules(g.edges), include, exclude)
+    return modules.unused_modules(g.declared.where(F.col("root") == g.root).select("module"), _used(g, fields, binaries, mentions), include, exclude)
 
 
 def missing_modules(spark: SparkSession, root: str | Graph, include: list[str] | None = None, exclude: list[str] | None = None, **options) -> DataFrame:
@@ -97,8 +140,20 @@ def installed_duplicates(spark: SparkSession, root: str) -> DataFrame:
     return modules.duplicates(installed(spark, root))
 
 
+def dedupe_installed(spark: SparkSession, root: str, isolate: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The links that would replace copies of leaf packages, and ``top, before, after`` of each ``node_modules``; nothing is changed."""
+    plan = modules.dedupe_plan(installed(spark, root), isolate)
+    tops = dirs_size(spark, root).select("top", F.col("bytes").alias("before"))
+    mine = F.col("link").startswith(F.concat("top", F.lit("/")))
+    tied = plan.select("link", "saved").join(tops.select("top"), mine, "inner") if manifests.node_modules_dirs(root) else plan.select("saved", F.lit("").alias("top"))
+    saved = tied.groupBy("top").agg(F.sum("saved").alias("saved"))
+    return plan, tops.join(saved, "top", "left").select("top", "before", (F.col("before") - F.coalesce("saved", F.lit(0))).alias("after"))
+
+
 def dirs_size(spark: SparkSession, root: str) -> DataFrame:
-    return modules.dir_sizes(installed(spark, root).withColumn("symlink", F.lit(False)))
+    """``top, bytes`` of each top-level ``node_modules``: all that lies below it, links left out."""
+    rows = [(d, manifests.dir_bytes(d)) for d in manifests.node_modules_dirs(root)]
+    return spark.createDataFrame(rows, "top string, bytes long") if rows else spark.createDataFrame([], "top string, bytes long")
 
 
 def analyze_size(spark: SparkSession, root: str) -> DataFrame:
@@ -116,8 +171,9 @@ def analyze_size(spark: SparkSession, root: str) -> DataFrame:
     return modules.size_report(short, modules.dependency_graph(short, declared.withColumn("path", rel("path"))))
 
 
-def prune_docs(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
-    """Documentation files of installed packages that may go; nothing is deleted."""
+def prune_docs(spark: SparkSession, root: str, patterns: list[str] | None = None, defaults: bool = False) -> DataFrame:
+    """Documentation files of installed packages that may go, by the patterns (and the ``defaults``); nothing is deleted."""
+    patterns = modules.merged_patterns(modules.DOC_PATTERNS if defaults else None, patterns)
     rows = []
     for p in manifests.installed_packages(root):
         for at, dirs, names in os.walk(p["path"]):

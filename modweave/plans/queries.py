@@ -38,7 +38,7 @@ def joined(c: str):
 
 
 CLOSURE = """roots AS (SELECT path FROM nodes WHERE path LIKE '/repo/brand11/%'),
-steps AS (SELECT DISTINCT src, dst FROM latest WHERE dst <> '' AND resolved_type IN ('user', 'monorepo')),
+steps AS (SELECT DISTINCT src, dst FROM layered WHERE dst <> '' AND resolved_type IN ('user', 'monorepo')),
 reach AS (SELECT path AS entry, path FROM roots UNION SELECT r.entry, s.dst FROM reach r JOIN steps s ON s.src = r.path)
 """
 PKG = "CASE WHEN request LIKE '@%' THEN split_part(request, '/', 1) || '/' || split_part(request, '/', 2) ELSE split_part(request, '/', 1) END"
@@ -181,39 +181,39 @@ def offset_locations(documents):
 # --- graph --------------------------------------------------------------------------------------------------------
 
 
-@query("nodes", "latest", sql=CLOSURE + "SELECT entry, count(*) AS n FROM reach GROUP BY entry", recursive=True)
+@query("nodes", "layered", sql=CLOSURE + "SELECT entry, count(*) AS n FROM reach GROUP BY entry", recursive=True)
 def reach_counts(nodes, edges):
     return graph.reach_counts(graph.followed(edges), brand_roots(nodes))
 
 
-@query("nodes", "latest", sql=CLOSURE + "SELECT DISTINCT path FROM reach", recursive=True)
+@query("nodes", "layered", sql=CLOSURE + "SELECT DISTINCT path FROM reach", recursive=True)
 def reachable_files(nodes, edges):
     return graph.reachable(graph.followed(edges), brand_roots(nodes))
 
 
-@query("sparse", sql="reach AS (SELECT src, dst FROM sparse UNION SELECT r.src, s.dst FROM reach r JOIN sparse s ON s.src = r.dst) SELECT src, dst FROM reach", recursive=True)
-def closure_doubling(sparse):
-    return graph.doubled_pairs(sparse.select("src", "dst"))
+@query("links", sql="reach AS (SELECT src, dst FROM links UNION SELECT r.src, s.dst FROM reach r JOIN links s ON s.src = r.dst) SELECT src, dst FROM reach", recursive=True)
+def closure_doubling(links):
+    return graph.doubled_pairs(links.select("src", "dst"))
 
 
-@query("nodes", "latest", sql=CLOSURE + "SELECT r.entry, r.path AS target FROM reach r WHERE r.path LIKE '%9.ts'", recursive=True)
+@query("nodes", "layered", sql=CLOSURE + "SELECT r.entry, r.path AS target FROM reach r WHERE r.path LIKE '%9.ts'", recursive=True)
 def reach_targets(nodes, edges):
     targets = nodes.where(globs.glob_col(F.col("path"), ["**/*9.ts"], ROOT)).select("path")
     return graph.reach_targets(graph.followed(edges), brand_roots(nodes), targets)
 
 
-@query("nodes", "latest", sql=CLOSURE + ", gone AS (SELECT DISTINCT src FROM latest WHERE resolved_type IN ('node', 'unresolved') AND split_part(request, '/', 1) || '/' || split_part(request, '/', 2) = '@gone7/lib') SELECT DISTINCT r.entry FROM reach r JOIN gone g ON g.src = r.path", recursive=True)
+@query("nodes", "layered", sql=CLOSURE + ", gone AS (SELECT DISTINCT src FROM layered WHERE resolved_type IN ('node', 'unresolved') AND split_part(request, '/', 1) || '/' || split_part(request, '/', 2) = '@gone7/lib') SELECT DISTINCT r.entry FROM reach r JOIN gone g ON g.src = r.path", recursive=True)
 def reach_module(nodes, edges):
     front = graph.module_frontier(edges, "@gone7/lib")
     return graph.reach_targets(graph.followed(edges), brand_roots(nodes), front).select("entry").distinct()
 
 
-@query("nodes", "latest", sql=CLOSURE + "SELECT path, min(entry) AS entry FROM reach GROUP BY path", recursive=True)
+@query("nodes", "layered", sql=CLOSURE + "SELECT path, min(entry) AS entry FROM reach GROUP BY path", recursive=True)
 def attributed_entries(nodes, edges):
     return graph.attribute_least(graph.followed(edges), brand_roots(nodes))
 
 
-@query("nodes", "edges", sql="SELECT path FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.path) AND path NOT LIKE '/repo/brand4%'")
+@query("nodes", "layered", sql="SELECT path FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM layered e WHERE e.dst = n.path) AND path NOT LIKE '/repo/brand4%'")
 def entry_points(nodes, edges):
     return graph.entry_points(nodes, edges, exclude=["brand4*/**"], root=ROOT)
 
@@ -228,18 +228,18 @@ def dangling_edges(nodes, edges):
     return graph.dangling(nodes.where("path NOT LIKE '%/promo/%'"), edges).select("src", "seq", "dst")
 
 
-@query("nodes", "latest", sql="""own AS (SELECT path FROM nodes WHERE path LIKE '/repo/brand12/%'), steps AS (SELECT src, dst FROM latest WHERE dst <> '' AND resolved_type IN ('user', 'monorepo')),
+@query("nodes", "layered", sql="""own AS (SELECT path FROM nodes WHERE path LIKE '/repo/brand12/%'), steps AS (SELECT src, dst FROM layered WHERE dst <> '' AND resolved_type IN ('user', 'monorepo')),
 reach AS (SELECT path FROM own UNION SELECT s.dst FROM reach r JOIN steps s ON s.src = r.path),
 kept AS (SELECT path FROM reach WHERE path LIKE '/repo/brand12/%' OR path LIKE '/repo/brand21/%')
-SELECT e.src, e.seq, e.dst FROM latest e WHERE e.src IN (SELECT path FROM kept) AND (e.dst = '' OR e.dst IN (SELECT path FROM kept))""", recursive=True)
+SELECT e.src, e.seq, e.dst FROM layered e WHERE e.src IN (SELECT path FROM kept) AND (e.dst = '' OR e.dst IN (SELECT path FROM kept))""", recursive=True)
 def rule_slice(nodes, edges):
     return graph.slice_rule(nodes, edges, "/repo/brand12", ["/repo/brand21"])[1].select("src", "seq", "dst")
 
 
-@query("sparse", sql="reach AS (SELECT src, dst FROM sparse UNION SELECT r.src, s.dst FROM reach r JOIN sparse s ON s.src = r.dst), ids AS (SELECT src AS path FROM sparse UNION SELECT dst FROM sparse), mutual AS (SELECT a.src AS path, a.dst AS other FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src UNION SELECT path, path FROM ids) SELECT path, min(other) AS component, count(*) AS size FROM mutual GROUP BY path", recursive=True)
-def strong_components(sparse):
-    nodes = sparse.select(F.col("src").alias("path")).union(sparse.select("dst"))
-    return graph.scc(nodes, sparse.withColumn("kind", F.lit("mixed")))
+@query("links", sql="reach AS (SELECT src, dst FROM links UNION SELECT r.src, s.dst FROM reach r JOIN links s ON s.src = r.dst), ids AS (SELECT src AS path FROM links UNION SELECT dst FROM links), mutual AS (SELECT a.src AS path, a.dst AS other FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src UNION SELECT path, path FROM ids) SELECT path, min(other) AS component, count(*) AS size FROM mutual GROUP BY path", recursive=True)
+def strong_components(links):
+    nodes = links.select(F.col("src").alias("path")).union(links.select("dst"))
+    return graph.scc(nodes, links.withColumn("kind", F.lit("mixed")))
 
 
 @query("events_graph", sql="reach AS (SELECT src, dst FROM events_graph UNION SELECT r.src, s.dst FROM reach r JOIN events_graph s ON s.src = r.dst) SELECT src AS path, min(dst) AS component FROM reach r WHERE EXISTS (SELECT 1 FROM reach b WHERE b.src = r.dst AND b.dst = r.src) GROUP BY src", recursive=True)
@@ -248,56 +248,112 @@ def event_components(events_graph):
     return graph.scc(nodes, events_graph.withColumn("kind", F.lit("mixed"))).select("path", "component")
 
 
-@query("sparse", sql="sym AS (SELECT src AS a, dst AS b FROM sparse UNION SELECT dst, src FROM sparse), reach AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym s ON s.a = r.b) SELECT a AS node, least(a, min(b)) AS component FROM reach GROUP BY a", recursive=True)
-def weak_components(sparse):
+@query("links", sql="sym AS (SELECT src AS a, dst AS b FROM links UNION SELECT dst, src FROM links), reach AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym s ON s.a = r.b) SELECT a AS node, least(a, min(b)) AS component FROM reach GROUP BY a", recursive=True)
+def weak_components(links):
     from modweave.operators.components import components
 
-    every = sparse.select("src", "dst")
+    every = links.select("src", "dst")
     alone = every.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
     found = components(every)
     return found.union(alone.join(found.select("node"), "node", "left_anti")).distinct()
 
 
-def sparse_graph(sparse: DataFrame) -> tuple[DataFrame, DataFrame]:
-    nodes = sparse.select(F.col("src").alias("path")).union(sparse.select("dst")).distinct()
-    return nodes, sparse.withColumns({"kind": F.lit("mixed"), "request": F.concat(F.lit("./"), "dst"), "resolved_type": F.lit("user")})
+def link_graph(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    nodes = links.select(F.col("src").alias("path")).union(links.select("dst")).distinct()
+    return nodes, links.withColumns({"kind": F.lit("mixed"), "request": F.concat(F.lit("./"), "dst"), "resolved_type": F.lit("user")})
 
 
-@query("sparse")
-def cycles_depth_first(sparse):
-    return graph.cycles_dfs(*sparse_graph(sparse)).select(joined("cycle"))
+#: Cycles stay within blocks of four numbers, so all simple ones from a component's least file can be listed.
+_COMPONENTS = """reach AS (SELECT src, dst FROM links UNION SELECT r.src, s.dst FROM reach r JOIN links s ON s.src = r.dst),
+strong AS (SELECT a.src AS path, min(a.dst) AS comp FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src),
+inner_ AS (SELECT DISTINCT l.src, l.dst, a.comp FROM links l JOIN strong a ON a.path = l.src JOIN strong b ON b.path = l.dst AND b.comp = a.comp),
+walks AS (SELECT comp, [comp] AS way, comp AS at, false AS closed FROM (SELECT DISTINCT comp FROM inner_)
+  UNION ALL SELECT w.comp, list_append(w.way, i.dst), i.dst, i.dst = w.comp FROM walks w JOIN inner_ i ON i.src = w.at AND i.comp = w.comp
+  WHERE NOT w.closed AND (i.dst = w.comp OR NOT list_contains(w.way, i.dst))),
+best AS (SELECT comp, min(way) AS way FROM walks WHERE closed GROUP BY comp)
+"""
+
+
+@query("links")
+def cycles_depth_first(links):
+    return graph.cycles_dfs(*link_graph(links)).select(joined("cycle"))
+
+
+@query("links", sql="SELECT true AS closed, true AS linked, true AS strong")
+def cycles_depth_first_hold(links):
+    """Of every cycle of the depth-first walk: it ends where it began, its steps are links, its files are one component."""
+    nodes, edges = link_graph(links)
+    found = graph.cut(graph.cycles_dfs(nodes, edges))
+    steps = found.select("cycle", F.posexplode("cycle").alias("i", "src")).where(F.col("i") < F.size("cycle") - 1).select("src", F.get("cycle", F.col("i") + 1).alias("dst"))
+    part = graph.cut(graph.scc(nodes, edges).select("path", "component"))
+    a, b = part.select(F.col("path").alias("src"), F.col("component").alias("a")), part.select(F.col("path").alias("dst"), F.col("component").alias("b"))
+    bad = found.where(F.get("cycle", F.lit(0)) != F.element_at("cycle", -1)).select(F.lit("closed").alias("what"))
+    bad = bad.union(steps.join(edges, ["src", "dst"], "left_anti").select(F.lit("linked")))
+    bad = bad.union(steps.join(a, "src").join(b, "dst").where("a != b").select(F.lit("strong")))
+    return bad.agg(*[(F.count_if(F.col("what") == w) == 0).alias(w) for w in ("closed", "linked", "strong")])
 
 
-@query("sparse")
-def cycles_by_component(sparse):
-    return graph.cycles_scc(*sparse_graph(sparse)).select(joined("cycle"))
+@query("links", sql=_COMPONENTS + "SELECT array_to_string(way, ',') AS cycle FROM best", recursive=True)
+def cycles_by_component(links):
+    return graph.cycles_scc(*link_graph(links)).select(joined("cycle"))
 
 
-@query("sparse")
-def cycle_requests(sparse):
-    nodes, edges = sparse_graph(sparse)
+@query("links", sql=_COMPONENTS + "SELECT CAST(i AS INT) AS hop, way[i + 1] AS src, way[i + 2] AS dst, './' || way[i + 2] AS request FROM (SELECT way, unnest(range(len(way) - 1)) AS i FROM best)", recursive=True)
+def cycle_requests(links):
+    nodes, edges = link_graph(links)
     return graph.cycle_hops(graph.cycles_scc(nodes, edges), edges).select("hop", "src", "dst", "request")
 
 
-@query("nodes", "latest")
+@query("nodes", "layered")
 def parent_links(nodes, edges):
     return graph.parent_links(edges, brand_roots(nodes))
 
 
-@query("nodes", "latest")
+@query("nodes", "layered")
 def first_parent_entries(nodes, edges):
     return graph.attribute_first(edges, brand_roots(nodes))
 
 
-@query("nodes", "latest")
+@query("nodes", "layered", sql=CLOSURE + ", own AS (SELECT DISTINCT path FROM reach) SELECT path, true AS linked FROM own WHERE path NOT IN (SELECT path FROM roots)", recursive=True)
+def parent_links_hold(nodes, edges):
+    """Every file that is reached and no root has parents; all of them are files that import it."""
+    links = graph.parent_links(edges, brand_roots(nodes)).select("path", "parent").distinct()
+    steps = graph.followed(edges).select(F.col("dst").alias("path"), F.col("src").alias("parent"), F.lit(True).alias("linked")).distinct()
+    held = links.join(steps, ["path", "parent"], "left").groupBy("path").agg(F.bool_and(F.coalesce("linked", F.lit(False))).alias("linked"))
+    return held.join(brand_roots(nodes), "path", "left_anti")
+
+
+@query("nodes", "layered", sql=CLOSURE + "SELECT DISTINCT path, true AS reached FROM reach", recursive=True)
+def first_parent_entries_hold(nodes, edges):
+    """Every file that is reached has an entry, which reaches it."""
+    first = graph.attribute_first(edges, brand_roots(nodes)).select("path", "entry")
+    pairs = graph.reach_pairs(graph.followed(edges), brand_roots(nodes)).withColumn("reached", F.lit(True))
+    return first.join(pairs, ["path", "entry"], "left").select("path", F.coalesce("reached", F.lit(False)).alias("reached"))
+
+
+@query("nodes", "layered")
 def resolution_paths(nodes, edges):
     return graph.paths(edges, brand_roots(nodes), "@gone7/lib").select("entry", "path_no", joined("path"))
 
 
+@query("nodes", "layered", sql=CLOSURE + """, gone AS (SELECT DISTINCT src FROM layered WHERE resolved_type = 'unresolved' AND request = '@gone7/lib')
+SELECT DISTINCT r.entry, true AS begins, true AS ends, true AS linked FROM reach r JOIN gone g ON g.src = r.path WHERE r.entry NOT IN (SELECT src FROM gone)""", recursive=True)
+def resolution_paths_hold(nodes, edges):
+    """An entry that reaches an importer of the module, and is none, has a path: from it to one, step by step along imports."""
+    front = graph.module_frontier(edges, "@gone7/lib").withColumn("ends", F.lit(True))
+    found = graph.cut(graph.paths(edges, brand_roots(nodes), "@gone7/lib").select("entry", "path"))
+    found = found.join(front.select(F.col("path").alias("entry")), "entry", "left_anti")
+    steps = found.select("entry", F.posexplode("path").alias("i", "src"), "path").where(F.col("i") < F.size("path") - 1).select("entry", "src", F.get("path", F.col("i") + 1).alias("dst"))
+    known = graph.followed(edges).select("src", "dst", F.lit(True).alias("ok")).distinct()
+    linked = steps.join(known, ["src", "dst"], "left").groupBy("entry").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("linked"))
+    ends = found.select("entry", (F.get("path", F.lit(0)) == F.col("entry")).alias("begins"), F.element_at("path", -1).alias("path")).join(front, "path", "left")
+    return ends.join(linked, "entry").select("entry", "begins", F.coalesce("ends", F.lit(False)).alias("ends"), "linked")
+
+
 # --- detectors ----------------------------------------------------------------------------------------------------
 
 
-@query("nodes", "edges", sql="SELECT path FROM nodes n WHERE path NOT LIKE '/repo/brand2%' AND path NOT LIKE '/repo/brand11/%' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.dst = n.path AND e.kind <> 'only_type' AND e.src NOT LIKE '/repo/brand2%')")
+@query("nodes", "layered", sql="SELECT path FROM nodes n WHERE path NOT LIKE '/repo/brand2%' AND path NOT LIKE '/repo/brand11/%' AND NOT EXISTS (SELECT 1 FROM layered e WHERE e.dst = n.path AND e.kind <> 'only_type' AND e.src NOT LIKE '/repo/brand2%')")
 def orphan_files(nodes, edges):
     return detectors.orphans(nodes, edges, ["brand11/**"], ["brand2*/**"], ignore_types=True, root=ROOT)
 
@@ -321,12 +377,12 @@ def module_boundaries(edges):
     return detectors.boundaries(edges, rules, ROOT)
 
 
-@query("nodes", "latest", sql=CLOSURE + ", least AS (SELECT path, min(entry) AS entry FROM reach GROUP BY path) SELECT 'file' AS type, '' AS importer, entry, path AS file, '' AS module, '' AS request FROM least WHERE path LIKE '%/promo/%' AND path NOT LIKE '/repo/brand11/%' AND path NOT LIKE '%3.ts' UNION ALL SELECT 'module', min(e.src), l.entry, '', e.request[:length(e.request) - 4] || '/lib', e.request FROM least l JOIN latest e ON e.src = l.path WHERE e.resolved_type = 'unresolved' AND e.request LIKE '@gone1%' GROUP BY l.entry, e.request", recursive=True)
+@query("nodes", "layered", sql=CLOSURE + ", least AS (SELECT path, min(entry) AS entry FROM reach GROUP BY path) SELECT 'file' AS type, '' AS importer, entry, path AS file, '' AS module, '' AS request FROM least WHERE path LIKE '%/promo/%' AND path NOT LIKE '/repo/brand11/%' AND path NOT LIKE '%3.ts' UNION ALL SELECT 'module', min(e.src), l.entry, '', e.request[:length(e.request) - 4] || '/lib', e.request FROM least l JOIN layered e ON e.src = l.path WHERE e.resolved_type = 'unresolved' AND e.request LIKE '@gone1%' GROUP BY l.entry, e.request", recursive=True)
 def restricted_imports(nodes, edges):
     return detectors.restricted_imports(nodes, edges, ["brand11/**"], ["**/promo/**"], ["@gone1*"], ignore=["**/*3.ts"], root=ROOT)
 
 
-@query("nodes", "latest", sql=CLOSURE.replace("/repo/brand11/%'", "/repo/brand1%' AND path NOT LIKE '/repo/brand13/%'") + """, front AS (SELECT DISTINCT src, request AS module FROM latest WHERE resolved_type = 'unresolved' AND request LIKE '@gone2%')
+@query("nodes", "layered", sql=CLOSURE.replace("/repo/brand11/%'", "/repo/brand1%' AND path NOT LIKE '/repo/brand13/%'") + """, front AS (SELECT DISTINCT src, request AS module FROM layered WHERE resolved_type = 'unresolved' AND request LIKE '@gone2%')
 SELECT entry, path AS file, '' AS module FROM reach WHERE path LIKE '%/promo/p1%' AND entry NOT LIKE '%/promo/p1%' UNION ALL SELECT DISTINCT r.entry, '', f.module FROM reach r JOIN front f ON f.src = r.path""", recursive=True)
 def restricted_importers(nodes, edges):
     return detectors.restricted_importers(nodes, edges, ["brand1*/**"], ["brand13/**"], ["**/promo/p1*"], ["@gone2*"], root=ROOT)
@@ -337,12 +393,27 @@ def restricted_direct_importers(edges):
     return detectors.restricted_direct_importers(edges, ["**/standard/**"], ["@gone3*"], allow=["brand1*/**"], ignore=["**/*7.ts"], root=ROOT)
 
 
-@query("nodes", "latest", "imports", "declared", sql=CLOSURE + f", least AS (SELECT path, min(entry) AS entry FROM reach GROUP BY path) SELECT DISTINCT {PKG} AS dependency, i.src AS path, i.request, l.entry FROM imports i JOIN least l ON l.path = i.src JOIN declared d ON d.dev AND d.module = {PKG}", recursive=True)
+@query("nodes", "layered", "imports", "declared", sql=CLOSURE + f", least AS (SELECT path, min(entry) AS entry FROM reach GROUP BY path) SELECT DISTINCT {PKG} AS dependency, i.src AS path, i.request, l.entry FROM imports i JOIN least l ON l.path = i.src JOIN declared d ON d.dev AND d.module = {PKG}", recursive=True)
 def dev_deps_in_production(nodes, edges, imports, declared):
     dev = declared.where("dev").select(F.lit("").alias("package_root"), "module")
     return detectors.dev_deps_in_prod(nodes, edges.unionByName(imports), ["brand11/**"], dev, root=ROOT)
 
 
+_NEAREST = "CASE WHEN path LIKE '/repo/brand11/economy/%' THEN '/repo/brand11/economy' WHEN path LIKE '/repo/brand1/%' THEN '/repo/brand1' WHEN path LIKE '/repo/brand11/%' THEN '/repo/brand11' ELSE '/repo' END"
+
+
+@query("nodes", "layered", "imports", "declared", sql=CLOSURE + f""", least AS (SELECT path, min(entry) AS entry FROM reach GROUP BY path),
+u AS (SELECT DISTINCT {PKG} AS dependency, src AS path, request FROM imports), o AS (SELECT u.*, l.entry, {_NEAREST.replace('path', 'u.path')} AS root FROM u JOIN least l ON l.path = u.path)
+SELECT DISTINCT dependency, path, request, entry FROM o JOIN declared d ON d.module = o.dependency WHERE (root = '/repo' AND d.dev) OR (root = '/repo/brand11' AND NOT d.dev) OR (root = '/repo/brand1' AND dependency LIKE '@s1/%')""", recursive=True)
+def dev_deps_of_nearest(nodes, edges, imports, declared):
+    """Nested packages: a file answers to the nearest one alone, also where that has no development packages."""
+    spark = nodes.sparkSession
+    at = lambda root, df: df.select(F.lit(root).alias("package_root"), "module")
+    dev = at("/repo", declared.where("dev")).union(at("/repo/brand11", declared.where("not dev"))).union(at("/repo/brand1", declared.where("module LIKE '@s1/%'")))
+    packages = spark.sql("SELECT explode(array('/repo', '/repo/brand1', '/repo/brand11', '/repo/brand11/economy')) AS root")
+    return detectors.dev_deps_in_prod(nodes, edges.unionByName(imports), ["brand11/**"], dev, root=ROOT, packages=packages)
+
+
 @query("edges", sql="""SELECT src AS path, seq, request, v AS violation, CASE WHEN v = 'should-be-aliased' AND b <> '' THEN CASE WHEN request LIKE '%.ts' THEN substr(t, 1) ELSE regexp_replace(t, '\\.ts$', '') END WHEN v = 'wrong-alias' THEN t ELSE '' END AS fix FROM (
 SELECT *, CASE b WHEN 'brand12' THEN '#twelve/' || substr(dst, 15) ELSE '' END AS t, CASE WHEN rel THEN 'should-be-aliased' WHEN b = 'brand12' THEN 'wrong-alias' END AS v FROM (
 SELECT *, request LIKE './%' AS rel, CASE WHEN dst LIKE '/repo/brand12/%' THEN 'brand12' ELSE '' END AS b FROM edges WHERE resolved_type IN ('user', 'monorepo') AND src LIKE '/repo/brand11/%' AND dst NOT LIKE '/repo/brand11/%')) WHERE v IS NOT NULL""")
@@ -403,19 +474,19 @@ def files_per_module(imports):
     return modules.files_per_module(modules.used_modules(imports))
 
 
-@query("nodes", "latest", "imports", sql=CLOSURE + f", {USED} SELECT DISTINCT r.entry, u.module FROM reach r JOIN used u ON u.path = r.path", recursive=True)
+@query("nodes", "layered", "imports", sql=CLOSURE + f", {USED} SELECT DISTINCT r.entry, u.module FROM reach r JOIN used u ON u.path = r.path", recursive=True)
 def modules_by_entry(nodes, edges, imports):
     return modules.modules_by_entry(edges, modules.used_modules(imports), brand_roots(nodes))
 
 
-@query("nodes", "latest", "imports", sql=CLOSURE + f", {USED} SELECT u.module, count(DISTINCT r.entry) AS entries FROM reach r JOIN used u ON u.path = r.path GROUP BY u.module", recursive=True)
+@query("nodes", "layered", "imports", sql=CLOSURE + f", {USED} SELECT u.module, count(DISTINCT r.entry) AS entries FROM reach r JOIN used u ON u.path = r.path GROUP BY u.module", recursive=True)
 def entries_by_module(nodes, edges, imports):
     return modules.modules_by_entry(edges, modules.used_modules(imports), brand_roots(nodes)).groupBy("module").agg(F.count_distinct("entry").alias("entries"))
 
 
-@query("nodes", "latest", "imports", sql=CLOSURE + f", {USED} SELECT DISTINCT r.entry, u.module FROM reach r JOIN used u ON u.path = r.path WHERE r.entry NOT IN (SELECT dst FROM latest)", recursive=True)
+@query("nodes", "layered", "imports", sql=CLOSURE.replace("/repo/brand11/%'", "/repo/brand%'") + f", {USED} SELECT DISTINCT r.entry, u.module FROM reach r JOIN used u ON u.path = r.path WHERE r.entry NOT IN (SELECT dst FROM layered)", recursive=True)
 def modules_by_entry_compat(nodes, edges, imports):
-    return modules.modules_by_entry(edges, modules.used_modules(imports), brand_roots(nodes), compat=True)
+    return modules.modules_by_entry(edges, modules.used_modules(imports), nodes.select("path"), compat=True)
 
 
 @query("nodes", sql="SELECT path, CASE WHEN split_part(path, '/', 3) IN ('brand11', 'brand12') THEN CASE WHEN path LIKE '/repo/brand11/economy/%' THEN '/repo/brand11/economy' ELSE '/repo/' || split_part(path, '/', 3) END ELSE '/repo' END AS root FROM nodes")
@@ -434,10 +505,8 @@ def duplicate_installs(installed):
     return modules.duplicates(installed)
 
 
-_PLACE = "row_number() OVER (PARTITION BY name, version{} ORDER BY len(string_split(path, 'node_modules')), length(path), path)"
-
-
-@query("installed", sql=f"SELECT k.path AS keep, l.path AS link, l.size AS saved FROM (SELECT *, {_PLACE.format(', top')} AS r FROM installed WHERE leaf) l JOIN (SELECT *, {_PLACE.format(', top')} AS r FROM installed WHERE leaf) k ON k.name = l.name AND k.version = l.version AND k.top = l.top AND k.r = 1 WHERE l.r > 1")
+@query("installed", sql="""p AS (SELECT *, row_number() OVER (PARTITION BY name, version, top ORDER BY len(string_split(path, 'node_modules')), length(path), path) AS r FROM installed)
+SELECT k.path AS keep, l.path AS link, l.size AS saved FROM p l JOIN p k ON k.name = l.name AND k.version = l.version AND k.top = l.top WHERE k.r = 1 AND l.r > 1 AND k.leaf AND l.leaf""", recursive=True)
 def dedupe_plan(installed):
     return modules.dedupe_plan(installed, isolate=True)
 
@@ -447,18 +516,18 @@ def dir_sizes(installed):
     return modules.dir_sizes(installed.withColumn("symlink", ~F.col("leaf")))
 
 
-@query("part", "sparse", sql="reach AS (SELECT CAST(p_partkey AS STRING) AS entry, CAST(p_partkey AS STRING) AS path FROM part UNION SELECT r.entry, s.dst FROM reach r JOIN sparse s ON s.src = r.path) SELECT r.entry AS path, CAST(sum(CAST(floor(p.p_retailprice) AS BIGINT)) AS BIGINT) AS total FROM reach r JOIN part p ON CAST(p.p_partkey AS STRING) = r.path GROUP BY r.entry", recursive=True)
-def total_sizes(part, sparse):
+@query("part", "links", sql="reach AS (SELECT CAST(p_partkey AS STRING) AS entry, CAST(p_partkey AS STRING) AS path FROM part UNION SELECT r.entry, s.dst FROM reach r JOIN links s ON s.src = r.path) SELECT r.entry AS path, CAST(sum(CAST(floor(p.p_retailprice) AS BIGINT)) AS BIGINT) AS total FROM reach r JOIN part p ON CAST(p.p_partkey AS STRING) = r.path GROUP BY r.entry", recursive=True)
+def total_sizes(part, links):
     own = part.select(F.col("p_partkey").cast("string").alias("path"), F.floor("p_retailprice").cast("long").alias("size"))
-    return modules.total_sizes(own, sparse)
+    return modules.total_sizes(own, links)
 
 
-@query("part", "sparse")
-def size_report(part, sparse):
+@query("part", "links")
+def size_report(part, links):
     own = part.select(F.col("p_name").alias("name"), F.col("p_size").cast("string").alias("version"), F.col("p_partkey").cast("string").alias("path"), F.floor("p_retailprice").cast("long").alias("size"))
-    used = sparse.select(F.col("dst").alias("path"))
+    used = links.select(F.col("dst").alias("path"))
     roots = own.join(used, "path", "left_anti").select(F.lit("").alias("src"), F.col("path").alias("dst"))
-    return modules.size_report(own, sparse.select("src", "dst").union(roots))
+    return modules.size_report(own, links.select("src", "dst").union(roots))
 
 
 @query("nodes", sql="SELECT path, k AS size FROM nodes WHERE path LIKE '%3.ts' OR path LIKE '/repo/brand%/economy/%'")
@@ -473,12 +542,9 @@ def first_issues(edges):
     return modules.first_issues(issues, ["path", "seq"]).select("check", "path", "request", "remaining")
 
 
-@query("edges", sql="SELECT row_number() OVER (ORDER BY src, seq) AS place, src, dst FROM edges WHERE resolved_type = 'monorepo'")
+@query("edges", sql="SELECT src, seq, dst FROM edges WHERE resolved_type = 'monorepo' ORDER BY src, seq")
 def sorted_violations(edges):
-    from pyspark.sql import Window
-
-    found = edges.where("resolved_type = 'monorepo'")
-    return found.select(F.row_number().over(Window.orderBy("src", "seq")).cast("long").alias("place"), "src", "dst")
+    return edges.where("resolved_type = 'monorepo'").orderBy("src", "seq").select("src", "seq", "dst")
 
 
 # --- lint ---------------------------------------------------------------------------------------------------------
@@ -503,9 +569,9 @@ def overlapping_patterns(nodes):
     return lint.overlaps(nodes, ["brand11/**", "brand1*/**", "**/*1.ts", "brand*/economy/**", "**/economy/**"], ROOT)
 
 
-@query("nodes", "latest", sql="e AS (SELECT path FROM nodes WHERE path NOT IN (SELECT dst FROM latest)), d AS (SELECT unnest(['/repo', '/repo/' || split_part(path, '/', 3), '/repo/' || split_part(path, '/', 3) || '/' || split_part(path, '/', 4)]) AS dir, path IN (SELECT path FROM e) AS hit FROM nodes) SELECT dir, count(*) AS files, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS entries FROM d GROUP BY dir HAVING sum(CAST(hit AS INT)) > 0 AND sum(CAST(hit AS INT)) * 100 >= 60 * count(*)")
+@query("nodes", "layered", sql="e AS (SELECT path FROM nodes WHERE path NOT IN (SELECT dst FROM layered)), d AS (SELECT unnest(['/repo', '/repo/' || split_part(path, '/', 3), '/repo/' || split_part(path, '/', 3) || '/' || split_part(path, '/', 4)]) AS dir, path IN (SELECT path FROM e) AS hit FROM nodes) SELECT dir, count(*) AS files, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS entries FROM d GROUP BY dir HAVING sum(CAST(hit AS INT)) > 0 AND sum(CAST(hit AS INT)) * 100 >= 5 * count(*)")
 def foldable_dirs(nodes, edges):
-    return lint.foldable_dirs(nodes, graph.entry_points(nodes, edges), 60)
+    return lint.foldable_dirs(nodes, graph.entry_points(nodes, edges), 5)
 
 
 # --- resolution ---------------------------------------------------------------------------------------------------
@@ -533,10 +599,16 @@ def alias_resolution(nodes, edges):
     return resolve.resolve_alias(edges.where("request LIKE '~%'"), rules, resolve.path_index(nodes)).where("dst != ''").select("src", "seq", "dst")
 
 
-@query("edges", "declared", sql="SELECT request, CASE WHEN request LIKE '@gone%' THEN 'unresolved' WHEN request LIKE './%' OR request LIKE '~%' THEN 'user' ELSE '' END AS type FROM (SELECT DISTINCT request FROM edges)")
-def request_classes(edges, declared):
-    asked = edges.groupBy("request").agg(F.max("dst").alias("dst"))
-    return resolve.classify(asked, declared.select("module")).select("request", F.col("type"))
+_ASKED = """SELECT request, dst FROM edges UNION SELECT request, '' FROM imports UNION SELECT 'node:' || lower(CASE WHEN resolved_type = 'monorepo' THEN 'path' ELSE 'fs/promises' END), '' FROM edges
+UNION SELECT 'fs', '' FROM edges UNION SELECT replace(path, '.ts', '.svg'), '' FROM nodes UNION SELECT replace(path, '.ts', '.css'), '' FROM nodes"""
+
+
+@query("nodes", "edges", "imports", "declared", sql=f"""SELECT request, CASE WHEN request = 'fs' OR request LIKE 'node:%' THEN 'builtin' WHEN dst LIKE '/repo/brand3%' THEN 'excluded' WHEN dst <> '' THEN 'user'
+WHEN {PKG} IN (SELECT module FROM declared) THEN 'node' WHEN request LIKE '%.svg' THEN 'asset' ELSE 'unresolved' END AS type FROM (SELECT request, max(dst) AS dst FROM ({_ASKED}) GROUP BY request)""")
+def request_classes(nodes, edges, imports, declared):
+    asked = nodes.sparkSession.sql(f"SELECT request, max(dst) AS dst FROM ({_ASKED.replace('FROM edges', 'FROM {e}').replace('FROM imports', 'FROM {i}').replace('FROM nodes', 'FROM {n}')}) GROUP BY request", e=edges, i=imports, n=nodes)
+    assets = nodes.select(F.replace(F.col("path"), F.lit(".ts"), F.lit(".svg")).alias("path"))
+    return resolve.classify(asked, declared.select("module"), ["brand3*/**"], assets, ROOT).select("request", "type")
 
 
 @query("nodes", sql="SELECT replace(path, '.ts', '.native.tsx') AS path FROM nodes WHERE path LIKE '%/promo/%' UNION ALL SELECT path FROM nodes WHERE path LIKE '%/promo/%'")

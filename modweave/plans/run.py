@@ -38,6 +38,15 @@ class Results:
     changes: DataFrame
     deletions: DataFrame
 
+    def unfixable(self) -> int:
+        """Imports against a convention for which no alias is known."""
+        found = [r.checks["importConventions"].where("fix = ''") for r in self.rules if "importConventions" in r.checks]
+        return reduce(DataFrame.unionByName, found).count() if found else 0
+
+    def recheck(self, spark: SparkSession, config: Config, root: str) -> Results:
+        """The same configuration once more, for after the planned contents were written."""
+        return run_config(spark, config, root)
+
     def issues(self) -> DataFrame:
         """``rule, check, path, issue`` of all rules: one relation, one action."""
         parts = []
@@ -114,14 +123,15 @@ def run_rule(g: Graph, config: Config, rule: Rule) -> tuple[RuleResult, list[Dat
                 if nearest:
                     mine = [p.root for p in g.rules.packages.values() if p.root != package.root and p.root.startswith(package.root + "/")]
                     scoped = scoped.where(~graph.glob_any(F.col("src"), [m + "/" for m in mine])) if mine else scoped
-                used = modules.used_modules(scoped, extra=_other_uses(g, package, o))
+                used = modules.used_modules(scoped, extra=other_uses(g, package, o))
                 add("unusedNodeModules", modules.unused_modules(declared.select("module"), used, o.get("includeModules"), o.get("excludeModules")).withColumn("path", F.lit(package.root + "/package.json")))
             elif name == "missingNodeModulesDetection":
                 add("missingNodeModules", modules.by_module(modules.missing_modules(edges, declared.select("module"), allowed, nearest, o.get("includeModules"), o.get("excludeModules"))))
             elif name == "devDepsUsageOnProdDetection":
                 per = [(p.root if nearest else "", m) for p in ([*g.rules.packages.values()] if nearest else [package]) for m in p.dev_deps if m not in p.deps] + [("", m) for (m,) in root_dev]
                 dev = spark.createDataFrame(per, "package_root string, module string") if per else spark.createDataFrame([], "package_root string, module string")
-                add("restrictedDevDependenciesUsage", detectors.dev_deps_in_prod(nodes, edges, o["prodEntryPoints"], dev, types, base, compat=True))
+                roots = spark.createDataFrame([(p.root,) for p in g.rules.packages.values()], "root string")
+                add("restrictedDevDependenciesUsage", detectors.dev_deps_in_prod(nodes, edges, o["prodEntryPoints"], dev, types, base, compat=True, packages=roots))
             elif name == "restrictedImportsDetection":
                 add("restrictedImports", detectors.restricted_imports(nodes, edges, o["entryPoints"], o.get("denyFiles"), o.get("denyModules"), o.get("ignoreMatches"), o.get("graphExclude"), types, base, compat=True))
             elif name == "restrictedImportersDetection":
@@ -161,7 +171,7 @@ def _domains(g: Graph, root: str, raw: list[dict]) -> list[detectors.Domain]:
     return out
 
 
-def _other_uses(g: Graph, package, o: dict) -> DataFrame:
+def other_uses(g: Graph, package, o: dict) -> DataFrame:
     """``module, path``: packages that manifests, scripts, settings and text files name."""
     spark = g.nodes.sparkSession
     rows: set[tuple[str, str]] = set()

@@ -277,13 +277,18 @@ def _size(root: str) -> tuple[int, bool]:
 
 
 def binaries(package: dict) -> list[str]:
-    """The names of a manifest's ``bin`` field: the package's own for a string, its keys for an object."""
+    """The names of a manifest's ``bin`` field: the package's own name for a string, its keys for an object."""
     found = package.get("bin")
     if isinstance(found, str):
-        return [str(package.get("name", "")).rsplit("/", 1)[-1]]
+        return [str(package.get("name", ""))] if found else []
     return sorted(found) if isinstance(found, dict) else []
 
 
+def dir_bytes(root: str) -> int:
+    """Bytes of all files below a directory, links left out."""
+    return sum(os.lstat(p).st_size for at, _, names in os.walk(root) for n in names if not os.path.islink(p := os.path.join(at, n)))
+
+
 # --- rules ---------------------------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from modweave.functions.semver import fits
-from modweave.operators import detectors, graph, kernels
+from modweave.operators import detectors, graph, kernels, modules
 from modweave.operators.components import components
 
 EDGE = "src string, seq int, request string, dst string, resolved_type string, kind string"
@@ -122,6 +122,66 @@ def test_strategies_agree(spark, monkeypatch):
     assert {p: c for p, c, _ in before} == mutual
 
 
+def test_tasks_are_bounded_and_agree(spark):
+    rng = random.Random(9)
+    pairs = [(f"n{rng.randrange(50)}", f"n{rng.randrange(50)}") for _ in range(75)] + [(f"m{i}", f"m{(i + 1) % 6}") for i in range(6)]
+    e, n = edges(spark, pairs), nodes(spark, pairs)
+    adj = kernels.adjacency(pairs)
+    names = sorted({x for p in pairs for x in p})
+    want = {(a, b) for a in names for b in kernels.reached(adj, a)}
+    for bounds in ((10**6, 500), (40, 100)):
+        assert {tuple(r) for r in graph.reach_pairs(e, n, *bounds).collect()} == want
+    strong = {(p, c[0], len(c)) for c in kernels.strong_components(adj, names) for p in c}
+    cycles = sorted(r.cycle for r in graph.cycles_scc(n, e).collect())
+    assert sorted({c[0] for c in cycles}) == sorted({c for _, c, k in strong if k > 1} | {a for a, b in pairs if a == b})
+    for bound in (10**6, 10):  # one task; by component and, for the largest, by colours
+        assert {tuple(r) for r in graph.scc(n, e, False, bound).collect()} == strong
+
+
+def test_size_report_in_parts_and_by_hand(spark):
+    rng = random.Random(4)
+    names = [f"p{i}" for i in range(30)]
+    size = {x: rng.randrange(1, 50) for x in names}
+    links = [(a, b) for a, b in ((rng.choice(names[:15]), rng.choice(names[:15])) for _ in range(14)) if a != b] + [("p20", "p21"), ("p21", "p22"), ("p23", "p22")]
+    links = sorted(set(links))
+    roots = ["p0", "p3", "p20", "p23", "p29"]
+    have = spark.createDataFrame([(x, "1", x, size[x]) for x in names], "name string, version string, path string, size long")
+    ties = spark.createDataFrame(links + [("", r) for r in roots], "src string, dst string")
+    adj = kernels.adjacency(links)
+
+    def gone_with(c):  # take the roots' name for c away, then again and again what nothing names
+        left, named, gone = list(links), [r for r in roots if r != c], set()
+        new = {c} if c not in [b for _, b in left] + named else set()
+        while new:
+            gone |= new
+            touched = {b for a, b in left if a in new}
+            left = [(a, b) for a, b in left if a not in new]
+            new = {b for b in touched if b not in [y for _, y in left] + named} - gone
+        return gone
+
+    want = {c: (size[c], sum(size[x] for x in gone_with(c) - {c}), sum(size[x] for x in kernels.reached(adj, c))) for c in names}
+    for bounds in ((10**6, 20), (0, 5)):
+        got = modules.size_report(have, ties, None, *bounds).collect()
+        assert {r.path: (r.own, r.exclusive, r.total) for r in got} == want and all(r.shared == r.total - r.own - r.exclusive for r in got)
+
+
+def test_first_issues(spark):
+    rows = [("a", f"f{i:02}") for i in range(9)] + [("b", "f1")]
+    out = modules.first_issues(spark.createDataFrame(rows, "check string, path string"), ["path"], 3).collect()
+    assert sorted((r.check, r.path, r.remaining) for r in out) == [("a", "f00", 6), ("a", "f01", 6), ("a", "f02", 6), ("b", "f1", 0)]
+
+
+def test_nearest_package_answers(spark):
+    e = spark.createDataFrame([("/r/a/x", 0, "m", "", "node", "mixed"), ("/r/ab/x", 0, "m", "", "node", "mixed"), ("/r/a/in/x", 0, "m", "", "node", "mixed")], EDGE)
+    n = spark.createDataFrame([("/r/a/x",), ("/r/ab/x",), ("/r/a/in/x",)], "path string")
+    dev = spark.createDataFrame([("/r/a", "m")], "package_root string, module string")
+    packages = spark.createDataFrame([("/r",), ("/r/a",), ("/r/a/in",)], "root string")
+    find = lambda **more: sorted(r.path for r in detectors.dev_deps_in_prod(n, e, ["**"], dev, root="/r", **more).collect())
+    assert find(packages=packages) == ["/r/a/x"] and find() == ["/r/a/in/x", "/r/a/x"]
+    everywhere = spark.createDataFrame([("", "m")], "package_root string, module string")
+    assert len(detectors.dev_deps_in_prod(n, e, ["**"], everywhere, root="/r", packages=packages).collect()) == 3
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)]

@@ -81,6 +81,7 @@ def test_components():
 def test_strip():
     assert strip_comments("a // b\n'//c' /* d */ e") == "a \n'//c'  e"
     assert strip_templates("x = css`a ${b}`; y = `kept`") == "x = css; y = `kept`"
+    assert strip_templates("return f`kept` + (a)`kept` + b[0]`kept` + s.div`gone\\``") == "return f`kept` + (a)`kept` + b[0]`kept` + s.div"
 
 
 def test_words_in_markup_and_names():

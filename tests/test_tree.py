@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 
@@ -107,7 +108,9 @@ def test_run(spark, root):
     new = {r.path[len(root) + 1 :]: bytes(r.new_content).decode() for r in results.planned().collect()}
     assert new["src/a.ts"] == "import type {B} from './b';\nimport {h} from 'lib/helper';\nexport const a = 1;\nconst unused = 2;\nexport { x };\nconst x = 1, y = 2;\n"
     report = json.loads(render.to_json(results))
-    assert report["hasFailures"] and report["rules"][0]["checks"]["unresolvedImports"]["issues"][0]["start_line"] == 4
+    assert report["hasFailures"] and report["rules"][0]["checks"]["unresolvedImports"]["issues"][0]["startLine"] == 4
+    assert report["version"] and report["rules"][0]["checks"]["unresolvedImports"]["issues"][0]["filePath"].startswith("src/")
+    assert {"fixedImportsCount", "unfixableAliasingCount"} <= set(report["fixSummary"])
     assert "missing-pkg" in render.text(results) and "src/a.ts" in render.issues_list(results)
     assert results.exit_code() == 1
 
@@ -171,6 +174,45 @@ def test_installed_and_sizes(spark, tmp_path):
     a = report["a1.0.0"]
     assert a.exclusive > 19_000 and a.total == a.own + a.exclusive + a.shared
     assert commands.prune_docs(spark, str(tmp_path)).count() == 6
+    assert commands.prune_docs(spark, str(tmp_path), ["**/*.js"]).count() == 6 and commands.prune_docs(spark, str(tmp_path), ["**/*.js"], defaults=True).count() == 12
+    plan, sizes = commands.dedupe_installed(spark, str(tmp_path))
+    base = str(tmp_path) + "/"
+    assert [(r.keep.removeprefix(base), r.link.removeprefix(base)) for r in plan.collect()] == [("node_modules/c", "sub/node_modules/c")]
+    by = {r.top.removeprefix(base): r for r in sizes.collect()}
+    assert by["sub/node_modules"].after == 0 < by["sub/node_modules"].before and by["node_modules"].after == by["node_modules"].before
+    (tmp_path / "node_modules" / ".bin").mkdir()
+    (tmp_path / "node_modules" / ".bin" / "tool").write_text("y" * 500)
+    os.symlink(base + "node_modules/a", base + "node_modules/linked")
+    assert {r.top.removeprefix(base): r.bytes for r in commands.dirs_size(spark, str(tmp_path)).collect()}["node_modules"] == by["node_modules"].before + 500
+
+
+def test_uses_beyond_imports(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.ts").write_text("import x from 'imported';\n\n\n// note\nconst t = css`\nred\n`;\n")
+    (tmp_path / "ci.yml").write_text("run: listed --now\n")
+    (tmp_path / "babel.js").write_text("presets: ['mentioned']\n")
+    deps = ["imported", "@x/tool", "listed", "mentioned", "typed", "idle", "hooked"]
+    body = {"name": "r", "dependencies": {d: "1" for d in deps}, "scripts": {"build": "@x/tool --fast"}, "hooks": {"pre": "hooked run"}}
+    (tmp_path / "package.json").write_text(json.dumps(body))
+    (tmp_path / "tsconfig.json").write_text(json.dumps({"compilerOptions": {"types": ["typed"]}}))
+    for d in ("@x/tool", "listed", "hooked"):
+        (tmp_path / "node_modules" / d).mkdir(parents=True)
+        (tmp_path / "node_modules" / d / "package.json").write_text(json.dumps({"name": d, "version": "1.0.0", "bin": "./cli.js"}))
+    root = str(tmp_path)
+    assert manifests.binaries({"name": "@x/tool", "bin": "./cli.js"}) == ["@x/tool"] and manifests.binaries({"name": "y", "bin": {"b": "", "a": ""}}) == ["a", "b"]
+    assert sorted(r.module for r in commands.unused_modules(spark, root).collect()) == ["hooked", "idle", "listed", "mentioned"]
+    more = dict(fields=["hooks"], binaries=["ci.yml"], mentions=["babel.js"])
+    assert [r.module for r in commands.unused_modules(spark, root, **more).collect()] == ["idle"]
+    assert sorted({r.module for r in commands.used_modules(spark, root, **more).collect()}) == sorted(set(deps) - {"idle"})
+    by = {r.module: r["paths"] for r in commands.used_modules(spark, root, group_by="module", **more).collect()}
+    assert by["imported"] == [root + "/src/a.ts"] and by["listed"] == [root + "/ci.yml"]
+    assert [(r.entry, r.modules) for r in commands.used_modules(spark, root, group_by="entry").where("entry LIKE '%a.ts'").collect()] == [(root + "/src/a.ts", ["imported"])]
+    assert "➞" in render.grouped(commands.used_modules(spark, root, group_by="file"), "path", "modules", root)
+    counts = commands.lines_of_code(spark, root)
+    assert [tuple(r)[1:] for r in counts.where("path LIKE '%/a.ts'").collect()] == [(6, 5, 3)]
+    totals = commands.line_totals(counts)
+    assert [r.metric for r in totals.collect()][0] == "Total lines" and totals.first().percentage == "100.00%"
+    assert render.table(totals, {"metric": "Metric", "lines": "Lines"}, ["metric"]).startswith("Metric")
 
 
 def test_lint(spark, tree):
