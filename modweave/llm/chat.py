@@ -102,9 +102,10 @@ def formatted(nodes: DataFrame, top: int | None = 1) -> DataFrame:
     """``conv_id, leaf, rank, formatted, mask`` of the best ``top`` paths of each tree of ``nodes``.
 
     ``nodes(conv_id, node, parent, role, text, score)``. One conversation is one string, so one must fit a row;
-    nothing larger is collected.
+    nothing larger is collected. A null score counts 0. An empty table gives an empty result; extra columns, of any
+    name, are not read.
     """
-    path = branches(nodes.withColumnRenamed("conv_id", "tree"), top)
+    path = branches(nodes.select(F.col("conv_id").alias("tree"), "node", "parent", "score"), top)
     said = nodes.select(F.col("conv_id").alias("c_"), F.col("node").alias("m_"), "role", "text")
     full = path.join(said, F.col("tree").eqNullSafe(F.col("c_")) & (F.col("node") == F.col("m_")))
     turn = F.struct((-F.col("depth")).alias("at"), "role", "text")

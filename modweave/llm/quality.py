@@ -91,7 +91,7 @@ def score(docs: DataFrame, host: str = "source") -> DataFrame:
     """The base measures, ``base_failed``, the host's shrunk failure verdict and ``kept`` for each row of ``docs``.
 
     Null text: no words, hence failed. A null host is a host of its own. Repeated rows count as often as they
-    occur. An empty table gives an empty result.
+    occur. An empty table gives an empty result. Extra columns, of any name, are not read.
     """
     rows = measured(docs.select("doc_id", "text", F.col(host).alias("host")))
     rows = cut(rows.select("doc_id", "host", "quality_.*"))
@@ -102,7 +102,11 @@ def score(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all their columns. The texts are measured twice rather than shuffled."""
+    """The rows of ``docs`` that the rules keep, all their columns, extra ones of any name too.
+
+    The texts are measured twice, once for the hosts and once for the rows themselves, rather than written or
+    shuffled between. Nulls, repeated rows and empty tables as in ``score``.
+    """
     columns = [docs[c] for c in docs.columns]
     slim = measured(docs.select("text", F.col(host).alias("host"))).select("host", "quality_.rule_failed")
     hosts = host_verdicts(slim)

@@ -162,7 +162,8 @@ def count_edited(docs: DataFrame, edits: Column, vocabulary: str = VOCABULARY) -
     ``edits`` is an array of structs (start, end, text) in code points, applied in order. A tree is built once
     for each text; an edit re-encodes only the leaves it touches and the sums above them. Null text: the empty
     text; null edits: none; null parts of an edit: 0 and ''. Rows are worked on one by one, so repeated rows give
-    repeated results, and one document's tree is in memory at a time. An empty table gives an empty result.
+    repeated results, and one document's tree is in memory at a time. An empty table gives an empty result. Extra
+    columns, of any name, are not read.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

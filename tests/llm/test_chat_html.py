@@ -119,3 +119,9 @@ def test_extra_columns_of_branches(spark):
     rows = [(1, 1, None, 1.0, 7, 8), (1, 2, 1, 2.0, 7, 8)]
     out = chat.branches(spark.createDataFrame(rows, "tree long, node long, parent long, score double, t_ int, n_ int"))
     assert {(r.leaf, r.depth, r.node) for r in out.collect()} == {(2, 0, 2), (2, 1, 1)}
+
+
+def test_very_long_turns(spark, long_docs):
+    rows = [(1, i, "assistant" if i % 2 else "user", r.text, "x") for i, r in enumerate(long_docs.collect())]
+    made = chat.formatted(chat.threads(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, tree string")))
+    assert chat.read_back(made.first().formatted) == [(r, t) for _, _, r, t, _ in rows]
