@@ -92,6 +92,91 @@ def test_neighbours_in_hot_groups(spark):
     assert apart.count() == 0
 
 
+def crowded(n, seed):
+    """Sketches of few different minima, each in many rows; some rows are alike, some have no minimum at some places."""
+    rng = np.random.default_rng(seed)
+    sketches = rng.choice(rng.integers(1, 2**31 - 1, 6, dtype=np.int32), (n, packing.SKETCH), p=[0.5, 0.3, 0.1, 0.05, 0.03, 0.02])
+    sketches[::7] = sketches[1]
+    sketches[rng.random(sketches.shape) < 0.05] = 0
+    return sketches
+
+
+def nearest(sketches, a, rows):
+    """The minima that ``a`` has in common with each other row of ``rows``."""
+    common = ((sketches == sketches[a]) & (sketches != 0)).sum(axis=1)
+    return {int(b): int(common[b]) for b in rows if b != a and common[b] >= packing.COMMON}
+
+
+@pytest.mark.parametrize("stretches", [1, 3])
+def test_neighbours_are_those_of_all_pairs(spark, stretches):
+    """Every minimum is in hundreds of rows, yet none of the nearest is left out."""
+    sketches = crowded(900, 4)
+    found = {r.rid: [(z.common, z.b) for z in r.near] for r in packing.neighbours(sketched(spark, sketches, stretch=lambda i: i % stretches)).collect()}
+    for a in range(len(sketches)):
+        common = nearest(sketches, a, range(a % stretches, len(sketches), stretches))
+        mine = found.get(a, [])
+        assert [c for c, _ in mine] == sorted(common.values(), reverse=True)[: packing.NEIGHBOURS]
+        assert all(common[b] == c for c, b in mine) and len({b for _, b in mine}) == len(mine)
+
+
+@pytest.mark.parametrize("ties", [packing.TIES, 5])
+def test_nearest_block_by_block(monkeypatch, ties):
+    monkeypatch.setattr(packing, "TIES", ties)
+    sketches = crowded(1500, 5)
+    rows = np.empty(len(sketches), packing._ROW)
+    rows["rid"], rows["sketch"] = np.arange(len(rows)), sketches
+    search = packing.Nearest(rows[300:700])
+    for lo in range(0, len(rows), 130):
+        search.meet(rows[lo : lo + 130])
+    found = {r["rid"]: [(z["common"], z["b"]) for z in r["near"]] for batch in search.found() for r in batch.to_pylist()}
+    for a in range(300, 700):
+        common = nearest(sketches, a, range(len(rows)))
+        assert [c for c, _ in found[a]] == sorted(common.values(), reverse=True)[: packing.NEIGHBOURS]
+        assert all(common[b] == c for c, b in found[a])
+
+
+def test_links_between_blocks_are_walked(spark):
+    """One path of 60 rows whose ids are shuffled, and three rows without links; blocks hold four rows."""
+    at = np.random.default_rng(6).permutation(60).tolist()
+    near = [(a, [(9, b)]) for a, b in zip(at, at[1:])]
+    rows = spark.createDataFrame([(i, 0) for i in range(63)], "rid long, stretch long")
+    out = packing.ordered(rows, spark.createDataFrame(near, f"rid long, near {packing._NEAR}"), block=4).orderBy("label", "chain", "link", "place", "rid").collect()
+    assert sorted(r.rid for r in out) == list(range(63))
+    whole = [r.rid for r in out if r.rid < 60]
+    assert whole in (at, at[::-1]) and len({r.chain for r in out if r.rid < 60}) == 1
+
+
+def test_no_link_is_left_between_ends(spark):
+    sketches = np.random.default_rng(8).choice(np.arange(1, 5, dtype=np.int32), (300, packing.SKETCH))
+    rows = sketched(spark, sketches, stretch=lambda i: i % 2)
+    near = packing.neighbours(rows).localCheckpoint()
+    out = packing.ordered(rows, near, block=16).orderBy("stretch", "label", "chain", "link", "place").collect()
+    assert sorted(r.rid for r in out) == list(range(300)) and all(r.stretch == r.rid % 2 for r in out)
+    chains = defaultdict(list)
+    for r in out:
+        chains[r.stretch, r.chain].append(r.rid)
+    links = {(r.rid, z.b) for r in near.collect() for z in r.near}
+    links |= {(b, a) for a, b in links}
+    ends = {x: chain for chain, own in chains.items() for x in (own[0], own[-1])}
+    assert not [(a, b) for a, b in links if a in ends and b in ends and ends[a] != ends[b]]
+    steps = [(a, b) in links for own in chains.values() for a, b in zip(own, own[1:])]
+    assert all(steps) and len(steps) > 250
+
+
+def test_copies_stay_together_and_hide_no_other_text(spark):
+    rng = random.Random(9)
+    say = lambda n: [rng.choice("abcdefghij") * rng.randint(1, 4) + str(rng.randint(0, 99)) for _ in range(n)]
+    base = say(200)
+    texts = [" ".join(base)] * 12 + [" ".join(base[:150] + say(50))] * 12 + [" ".join(say(200)) for _ in range(40)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    out = packing.pack(spark.createDataFrame([(i, texts[i]) for i in order], "doc_id long, text string").coalesce(1)).orderBy("sequence_id", "offset").collect()
+    family = [r.doc_id // 12 for r in out if r.start == 0 and r.doc_id < 24]
+    assert sum(a != b for a, b in zip(family, family[1:])) == 1
+    place = [i for i, r in enumerate(r for r in out if r.start == 0) if r.doc_id < 24]
+    assert place[-1] - place[0] == 23
+
+
 @pytest.mark.parametrize("vocabulary,least", [(1764, 0.9), (42, 0.8)])
 def test_neighbours_against_brute_force(spark, reference, vocabulary, least):
     """Nearest neighbours by the token pairs of whole texts, of documents in families of changing likeness.
