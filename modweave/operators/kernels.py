@@ -26,6 +26,23 @@ def reached(adj: Adjacency, root: str) -> list[str]:
     return list(seen)
 
 
+def closed(adj: dict[int, list[int]], start: Iterable[int], seen: set[int] | None = None) -> set[int]:
+    """What is reached from ``start``, itself included, and not ``seen`` before; ``seen`` is added to."""
+    seen = set() if seen is None else seen
+    new = set(start) - seen
+    out = set(new)
+    seen |= new
+    while new:
+        step: set[int] = set()
+        for a in new:
+            if a in adj:
+                step.update(adj[a])
+        new = step - seen
+        seen |= new
+        out |= new
+    return out
+
+
 def dfs_parents(adj: Adjacency, roots: Iterable[str]) -> dict[str, list[str]]:
     """Parent links in the order in which a depth-first build meets them, duplicates kept.
 
