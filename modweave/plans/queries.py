@@ -326,9 +326,10 @@ def parent_links_hold(nodes, edges):
 @query("nodes", "layered", sql=CLOSURE + "SELECT DISTINCT path, true AS reached FROM reach", recursive=True)
 def first_parent_entries_hold(nodes, edges):
     """Every file that is reached has an entry, which reaches it."""
-    first = graph.attribute_first(edges, brand_roots(nodes)).select("path", "entry")
-    pairs = graph.reach_pairs(graph.followed(edges), brand_roots(nodes)).withColumn("reached", F.lit(True))
-    return first.join(pairs, ["path", "entry"], "left").select("path", F.coalesce("reached", F.lit(False)).alias("reached"))
+    links = graph.first_links(graph.followed(edges))
+    first = graph.cut(graph.attribute_first(links, brand_roots(nodes)).select("path", "entry"))
+    held = graph.reaches(links, first).withColumn("reached", F.lit(True))
+    return first.join(held, ["path", "entry"], "left").select("path", F.coalesce("reached", F.lit(False)).alias("reached"))
 
 
 @query("nodes", "layered")
