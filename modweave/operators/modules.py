@@ -73,8 +73,10 @@ def files_per_module(pairs: DataFrame) -> DataFrame:
 def modules_by_entry(edges: DataFrame, used: DataFrame, entries: DataFrame, compat: bool = False) -> DataFrame:
     """``entry, module``. ``compat``: an entry that another file imports gets none."""
     if compat:
-        entries = entries.join(edges.where("dst != ''").select(F.col("dst").alias("path")), "path", "left_anti")
-    return graph.reach_pairs(graph.followed(edges), entries).join(used, "path").select("entry", "module").distinct()
+        edges = graph.kept(edges.where("dst != ''").select("src", "dst", "resolved_type").distinct())
+        entries = entries.join(edges.select(F.col("dst").alias("path")).distinct(), "path", "left_anti")
+    found = graph.reach_values(graph.followed(edges), entries, used.select("path", F.col("module").alias("value")))
+    return found.withColumnRenamed("value", "module")
 
 
 def owning_package(paths: DataFrame, packages: DataFrame) -> DataFrame:

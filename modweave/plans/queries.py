@@ -482,7 +482,7 @@ def modules_by_entry(nodes, edges, imports):
 
 @query("nodes", "layered", "imports", sql=CLOSURE + f", {USED} SELECT u.module, count(DISTINCT r.entry) AS entries FROM reach r JOIN used u ON u.path = r.path GROUP BY u.module", recursive=True)
 def entries_by_module(nodes, edges, imports):
-    return modules.modules_by_entry(edges, modules.used_modules(imports), brand_roots(nodes)).groupBy("module").agg(F.count_distinct("entry").alias("entries"))
+    return modules.modules_by_entry(edges, modules.used_modules(imports), brand_roots(nodes)).groupBy("module").agg(F.count("entry").alias("entries"))
 
 
 @query("nodes", "layered", "imports", sql=CLOSURE.replace("/repo/brand11/%'", "/repo/brand%'") + f", {USED} SELECT DISTINCT r.entry, u.module FROM reach r JOIN used u ON u.path = r.path WHERE r.entry NOT IN (SELECT dst FROM layered)", recursive=True)
