@@ -238,8 +238,8 @@ def rule_slice(nodes, edges):
 
 @query("links", sql="reach AS (SELECT src, dst FROM links UNION SELECT r.src, s.dst FROM reach r JOIN links s ON s.src = r.dst), ids AS (SELECT src AS path FROM links UNION SELECT dst FROM links), mutual AS (SELECT a.src AS path, a.dst AS other FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src UNION SELECT path, path FROM ids) SELECT path, min(other) AS component, count(*) AS size FROM mutual GROUP BY path", recursive=True)
 def strong_components(links):
-    nodes = links.select(F.col("src").alias("path")).union(links.select("dst"))
-    return graph.scc(nodes, links.withColumn("kind", F.lit("mixed")))
+    nodes, edges = link_graph(links)
+    return graph.scc(nodes, edges)
 
 
 @query("events_graph", sql="reach AS (SELECT src, dst FROM events_graph UNION SELECT r.src, s.dst FROM reach r JOIN events_graph s ON s.src = r.dst) SELECT src AS path, min(dst) AS component FROM reach r WHERE EXISTS (SELECT 1 FROM reach b WHERE b.src = r.dst AND b.dst = r.src) GROUP BY src", recursive=True)
@@ -259,7 +259,7 @@ def weak_components(links):
 
 
 def link_graph(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    nodes = links.select(F.col("src").alias("path")).union(links.select("dst")).distinct()
+    nodes = links.select(F.explode(F.array("src", "dst")).alias("path")).distinct()
     return nodes, links.withColumns({"kind": F.lit("mixed"), "request": F.concat(F.lit("./"), "dst"), "resolved_type": F.lit("user")})
 
 
@@ -282,10 +282,11 @@ def cycles_depth_first(links):
 @query("links", sql="SELECT true AS closed, true AS linked, true AS strong")
 def cycles_depth_first_hold(links):
     """Of every cycle of the depth-first walk: it ends where it began, its steps are links, its files are one component."""
-    nodes, edges = link_graph(links)
-    found = graph.cut(graph.cycles_dfs(nodes, edges))
+    links = graph.first_links(links)
+    nodes, edges = link_graph(links.pairs)
+    found = graph.cut(graph.cycles_dfs(nodes, links))
     steps = found.select("cycle", F.posexplode("cycle").alias("i", "src")).where(F.col("i") < F.size("cycle") - 1).select("src", F.get("cycle", F.col("i") + 1).alias("dst"))
-    part = graph.cut(graph.scc(nodes, edges).select("path", "component"))
+    part = graph.cut(graph.scc(nodes, links).select("path", "component"))
     a, b = part.select(F.col("path").alias("src"), F.col("component").alias("a")), part.select(F.col("path").alias("dst"), F.col("component").alias("b"))
     bad = found.where(F.get("cycle", F.lit(0)) != F.element_at("cycle", -1)).select(F.lit("closed").alias("what"))
     bad = bad.union(steps.join(edges, ["src", "dst"], "left_anti").select(F.lit("linked")))
@@ -300,7 +301,7 @@ def cycles_by_component(links):
 
 @query("links", sql=_COMPONENTS + "SELECT CAST(i AS INT) AS hop, way[i + 1] AS src, way[i + 2] AS dst, './' || way[i + 2] AS request FROM (SELECT way, unnest(range(len(way) - 1)) AS i FROM best)", recursive=True)
 def cycle_requests(links):
-    nodes, edges = link_graph(links)
+    nodes, edges = link_graph(graph.kept(links))
     return graph.cycle_hops(graph.cycles_scc(nodes, edges), edges).select("hop", "src", "dst", "request")
 
 
