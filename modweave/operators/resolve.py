@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from modweave.functions.globs import glob_col
 from modweave.functions.scalars import is_asset, is_builtin, is_relative, module_name, wildcard_fill
+from modweave.operators.buckets import kept
 
 _EXT = r"((?:/index)?\.(?:d\.ts|js|jsx|ts|tsx|mts|mjs|mjsx|cjs|vue|svelte))$"
 _TS = r"(\.d\.ts|\.js|\.jsx|\.ts|\.tsx|\.mts)$"
@@ -64,7 +65,7 @@ def with_extension(asked: DataFrame, index: DataFrame, path: str = "module_path"
             at += 1
     # distinct paths are resolved once and joined back
     one = asked.select(path).distinct().withColumn("mp_", p)
-    one = one.withColumn("t", F.explode(F.filter(F.array(*tries), lambda t: t["key"].isNotNull())))
+    one = one.withColumn("t", F.explode(F.array(*tries))).where("t.key is not null")
     hit = one.join(index, F.col("t.key") == F.col("base")).where((F.col("t.want") == "") | (F.col("t.want") == F.col("ext")))
     found = F.when(F.col("t.want") != "", F.col("mp_")).otherwise(F.concat("base", "ext"))
     best = hit.groupBy("mp_").agg(F.min_by(found, F.col("t.at")).alias("dst"))
@@ -81,11 +82,19 @@ def join_path(directory: Column, request: Column) -> Column:
     return F.array_join(kept, "/")
 
 
+def plain_join(directory: Column, request: Column) -> Column:
+    """As ``join_path`` where nothing but a leading ``./`` is to be taken out, else null. Compiled, unlike the walk over parts."""
+    whole = F.concat(directory, F.lit("/"), F.regexp_replace(request, r"^(\./)+", ""))
+    return F.when(~whole.rlike(r"/\.{0,2}(/|$)|^\.{1,2}(/|$)"), whole)
+
+
 def resolve_relative(asked: DataFrame, index: DataFrame, suffixes: list[str] | None = None) -> DataFrame:
     """``asked(src, seq, request)`` with ``dst`` for relative requests."""
     directory = F.regexp_replace("src", "/[^/]*$", "")
-    paths = asked.withColumn("module_path", join_path(directory, F.substring_index("request", "?", 1)))
-    # the index is joined on computed keys, so the plan works on distinct paths
+    request = F.substring_index("request", "?", 1)
+    # the requests are read three times and the plan works on distinct paths, so they are written once
+    paths = kept(asked.withColumn("module_path", plain_join(directory, request)))
+    paths = paths.where("module_path is not null").union(paths.where("module_path is null").withColumn("module_path", join_path(directory, request)))
     return _with_dst(paths, index, suffixes)
 
 
