@@ -250,12 +250,7 @@ def event_components(events_graph):
 
 @query("links", sql="sym AS (SELECT src AS a, dst AS b FROM links UNION SELECT dst, src FROM links), reach AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym s ON s.a = r.b) SELECT a AS node, least(a, min(b)) AS component FROM reach GROUP BY a", recursive=True)
 def weak_components(links):
-    from modweave.operators.components import components
-
-    every = links.select("src", "dst")
-    alone = every.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
-    found = components(every)
-    return found.union(alone.join(found.select("node"), "node", "left_anti")).distinct()
+    return graph.weak_components(links)
 
 
 def link_graph(links: DataFrame) -> tuple[DataFrame, DataFrame]:
