@@ -313,6 +313,7 @@ def first_parent_entries(nodes, edges):
 @query("nodes", "layered", sql=CLOSURE + ", own AS (SELECT DISTINCT path FROM reach) SELECT path, true AS linked FROM own WHERE path NOT IN (SELECT path FROM roots)", recursive=True)
 def parent_links_hold(nodes, edges):
     """Every file that is reached and no root has parents; all of them are files that import it."""
+    edges = graph.kept(graph.followed(edges).select("src", "seq", "dst", "resolved_type"))
     links = graph.parent_links(edges, brand_roots(nodes)).select("path", "parent").distinct()
     steps = graph.followed(edges).select(F.col("dst").alias("path"), F.col("src").alias("parent"), F.lit(True).alias("linked")).distinct()
     held = links.join(steps, ["path", "parent"], "left").groupBy("path").agg(F.bool_and(F.coalesce("linked", F.lit(False))).alias("linked"))
@@ -337,6 +338,7 @@ def resolution_paths(nodes, edges):
 SELECT DISTINCT r.entry, true AS begins, true AS ends, true AS linked FROM reach r JOIN gone g ON g.src = r.path WHERE r.entry NOT IN (SELECT src FROM gone)""", recursive=True)
 def resolution_paths_hold(nodes, edges):
     """An entry that reaches an importer of the module, and is none, has a path: from it to one, step by step along imports."""
+    edges = graph.kept(edges.select("src", "seq", "request", "dst", "resolved_type"))
     front = graph.module_frontier(edges, "@gone7/lib").withColumn("ends", F.lit(True))
     found = graph.cut(graph.paths(edges, brand_roots(nodes), "@gone7/lib").select("entry", "path"))
     found = found.join(front.select(F.col("path").alias("entry")), "entry", "left_anti")
